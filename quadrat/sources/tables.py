@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,19 @@ def fixed_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     return F.broadcast(df) if size <= max_rows * 100 else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="quadrat-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what builds on it is planned and computed once."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
