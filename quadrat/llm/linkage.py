@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import names
-from quadrat.operators.nearby import haversine_m
+from quadrat.operators.nearby import haversine_m, in_box
 from quadrat.sources.tables import cut
 
 # The rules in order: attributes that must be equal, and attributes that may not be known and different.
@@ -28,6 +28,7 @@ RULES = (
 )
 CELL_DEGREES = 0.02
 AGREE_M = 5_000.0
+BOX = (110.0, 155.0, -45.0, -10.0)
 
 
 def _cells(lon: str, lat: str, spread: bool) -> Column:
@@ -75,7 +76,7 @@ def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: s
 def confidence(links: DataFrame, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, prior: tuple[float, float] = (4.0, 1.0)) -> DataFrame:
     """``links`` with ``confidence``: each rule's share of pairs whose evidence agrees, smoothed by ``prior`` (hits, misses).
 
-    Evidence is the distance of the coordinates (at most AGREE_M agrees); for rules on cells, whether the
+    Evidence is the distance of possible coordinates (at most AGREE_M agrees); for rules on cells, whether the
     surnames are equal. Pairs without evidence label nothing but get the rule's confidence.
     """
     a = records.select(F.col(rec_id), F.col("longitude").alias("x1"), F.col("latitude").alias("y1"), names.surname(F.col("person")).alias("p1"))
@@ -83,7 +84,8 @@ def confidence(links: DataFrame, records: DataFrame, registry: DataFrame, rec_id
     both = links.join(a, rec_id).join(b, reg_id)
     far = haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     on_cells = F.col("rule_no").isin([i for i, (k, _) in enumerate(RULES, 1) if "cell" in k])
-    hit = F.when(on_cells, F.col("p1") == F.col("p2")).otherwise(F.when(~F.isnan(far), far <= AGREE_M))
+    placed = in_box(F.col("x1"), F.col("y1"), BOX) & in_box(F.col("x2"), F.col("y2"), BOX)
+    hit = F.when(on_cells, F.col("p1") == F.col("p2")).otherwise(F.when(placed, far <= AGREE_M))
     rates = both.groupBy("rule_no").agg(F.count_if(hit).alias("h"), F.count_if(~hit).alias("m"))
     rates = rates.select("rule_no", ((F.col("h") + prior[0]) / (F.col("h") + F.col("m") + sum(prior))).alias("confidence"), F.col("h").alias("n_agree"), F.col("m").alias("n_differ"))
     return links.join(rates, "rule_no")
