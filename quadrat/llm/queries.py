@@ -14,36 +14,38 @@ from quadrat.sources.tables import table
 FIRST_DATE, LAST_DATE = dt.date(2008, 12, 1), dt.date(2025, 11, 30)
 TRAPS, VISITS = "data_monitoring_traps_clean", "data_deduplicate_surveys_season"
 NIGHT_FIELDS = ["crop_type", "crop_stage", "traps_set", "phantoms", "mice_night", "comments"]
+VISIT_RULES = tuple(linkage.RULES[i] for i in (0, 2, 3, 4))
 VISIT_FIELDS = ["session_end_date", "season_year_adj", "crop_type", "crop_stage", "traps_set", "number_mice_caught"]
 
 
 # 2: best record of each duplicate group ----------------------------------------------------------------------
 
 
-def _nights(spark: SparkSession, d: str) -> DataFrame:
+def _nights(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
     cols = ("record_id", "site_data_id", "trap_type", "date", "source_rank", "entered_at", *NIGHT_FIELDS)
     nights = table(spark, d, TRAPS, *cols).where(F.col("date").between(F.lit(FIRST_DATE), F.lit(LAST_DATE)))
-    return survivors.best_of_groups(nights, ["site_data_id", "trap_type", "date"], "record_id", NIGHT_FIELDS, "entered_at", "source_rank")
+    return survivors.best_of_groups(nights, ["site_data_id", "trap_type", "date"], "record_id", NIGHT_FIELDS, "entered_at", "source_rank", merge=merge)
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "site_data", "site_data_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), "longitude", "latitude")
 
 
-def _visits(spark: SparkSession, d: str) -> DataFrame:
+def _visits(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
     visits = table(spark, d, VISITS, "survey_id", "region", "farmer", "site", "subsite", "session_start_date", "source_rank", "entered_at", *VISIT_FIELDS)
+    visits = visits.withColumn("complete", survivors.completeness(VISIT_FIELDS)).drop(*([] if merge else VISIT_FIELDS))
     spelt = ["region", "site", "farmer", "subsite"]
     visits = visits.withColumn("name_id", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in spelt]))
     spellings = visits.select("name_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("latitude")).distinct()
-    known = linkage.link(spark, spellings, _registry(spark, d), "name_id", "site_data_id", linkage.RULES[:7]).select("name_id", "site_data_id")
+    known = linkage.link(spark, spellings, _registry(spark, d), "name_id", "site_data_id", VISIT_RULES).select("name_id", "site_data_id")
     visits = visits.join(known, "name_id", "left").withColumn("paddock", F.coalesce("site_data_id", -F.abs("name_id"))).drop(*spelt, "name_id", "site_data_id")
     visits = survivors.chained(visits, ["paddock"], "session_start_date", 3, "chain")
-    return survivors.best_of_groups(visits.where("chain is not null"), ["paddock", "chain"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank")
+    return survivors.best_of_groups(visits.where("chain is not null"), ["paddock", "chain"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank", complete="complete", merge=merge)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda df, name: df.where("n_records > 1").select(F.lit(name).alias("table_name"), "first_id", "survivor_id")
-    return pick(_nights(spark, d), TRAPS).unionByName(pick(_visits(spark, d), VISITS))
+    return pick(_nights(spark, d, False), TRAPS).unionByName(pick(_visits(spark, d, False), VISITS))
 
 
 def p2_nights(spark: SparkSession, d: str) -> DataFrame:
