@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrat.sources.tables import cut
+
 # Other words for the entries of the reference list (common names, trade names, abbreviations).
 SYNONYMS = {
     "crop_type": {
@@ -105,7 +107,7 @@ def map_values(spark: SparkSession, values: DataFrame, reference: DataFrame, syn
     letters count as two edits each). Equal distances go to the longer term, then to the smaller ref_id.
     Null values and values without letters are unmatched. An empty reference list leaves all unmatched.
     """
-    values.select("field", "value").createOrReplaceTempView("q_values")
+    cut(values.select("field", "value").distinct()).createOrReplaceTempView("q_values")  # the rows are read once for it
     _reference_rows(spark, reference, synonyms).createOrReplaceTempView("q_terms")
     spark.sql(_spellings_sql("q_values")).createOrReplaceTempView("q_spellings")
     return spark.sql(f"""
