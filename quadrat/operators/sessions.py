@@ -90,3 +90,11 @@ def first_and_rest(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     """``df`` with ``capture_no`` within the keys and ``is_first``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("capture_no", F.row_number().over(w)).withColumn("is_first", F.col("capture_no") == 1)
+
+
+def hold_out(df: DataFrame, area: list[str], site: str, observed: str, least: int, barred: Column, seed: str = "1") -> DataFrame:
+    """(area, site): one random site of each area that has at least so many observed seasons and no barred row; the same for the same seed."""
+    g = df.groupBy(*area, site).agg(F.count_distinct(observed).alias("__n"), F.coalesce(F.bool_or(barred), F.lit(False)).alias("__b"))
+    g = g.where((F.col("__n") >= least) & ~F.col("__b"))
+    w = Window.partitionBy(*area).orderBy(hash_order([*area, site], seed), F.col(site))
+    return g.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*area, site)

@@ -263,4 +263,17 @@ def align_to_lags(spark: SparkSession, d: str) -> DataFrame:
     return m.join(kept, ["nation", "season_ord"], "left_semi")
 
 
+@R.add("""WITH g AS (SELECT ae_zone, site_data_id FROM data_long GROUP BY ALL HAVING count(DISTINCT CASE WHEN mice IS NOT NULL THEN season_year_adj END) >= 3 AND NOT coalesce(bool_or(crop_type = 'rice'), false))
+  SELECT ae_zone, site_data_id FROM g QUALIFY row_number() OVER (PARTITION BY ae_zone ORDER BY md5(coalesce(ae_zone, 'NA') || '|' || site_data_id || '|3'), site_data_id) = 1""")
+def hold_out_sites(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "data_long", "ae_zone", "site_data_id", "crop_type", F.when(F.col("mice").isNotNull(), F.col("season_year_adj")).alias("seen"))
+    return sessions.hold_out(t, ["ae_zone"], "site_data_id", "seen", 3, F.col("crop_type") == "rice", "3")
+
+
+@R.add("""SELECT series, max(t) AS last_time FROM (SELECT series, CAST(right(season_year_adj, 4) AS INTEGER) * 4 + CASE left(season_year_adj, 2) WHEN 'Su' THEN 0 WHEN 'Au' THEN 1 WHEN 'Wi' THEN 2 ELSE 3 END AS t FROM data_long) GROUP BY series HAVING max(t) < 8080""")
+def short_series(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "data_long", "series", cal.parse_label(F.col("season_year_adj")).alias("t"))
+    return t.groupBy("series").agg(F.max("t").alias("last_time")).where("last_time < 8080")
+
+
 QUERIES, SQL = R.queries, R.sql
