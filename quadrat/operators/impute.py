@@ -36,9 +36,10 @@ def fill_numeric(
     ``visit`` has to hold the columns of ``unit`` and ``time``. A null group key contributes no
     effect: the prediction then rests on the other levels. If no row has a value, the filled value
     is null and the mask stays true. Predictions are clipped to [low, high]. Repeated rows count
-    as often as they occur; extra columns are kept.
+    as often as they occur; extra columns are kept, those named like the two new ones replaced.
     """
     mark, out = f"{value}_was_missing", f"{value}_filled"
+    df = df.drop(mark, out)
     d = df.withColumn(mark, missing)
     y = F.col(value).cast("double")
     seen = d.where(~F.col(mark)).groupBy(*visit).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_ss"))
@@ -59,16 +60,16 @@ def fill_numeric(
         return level.select(*keys, (F.col("_r") / (F.col("_n") + ratio(level))).alias(name))
 
     resid = seen.select(*visit, "_n", (F.col("_s") - F.col("_n") * base["mu"]).alias("_r"))
-    t = effects(resid, time, "_t")
-    resid = _lookup(resid, t, time).withColumn("_r", F.col("_r") - F.col("_n") * F.coalesce("_t", F.lit(0.0))).drop("_t")
-    u = effects(resid, unit, "_u")
-    resid = _lookup(resid, u, unit).withColumn("_r", F.col("_r") - F.col("_n") * F.coalesce("_u", F.lit(0.0))).drop("_u")
-    v = effects(resid, visit, "_v")
+    t = effects(resid, time, "__fill_t")
+    resid = _lookup(resid, t, time).withColumn("_r", F.col("_r") - F.col("_n") * F.coalesce("__fill_t", F.lit(0.0))).drop("__fill_t")
+    u = effects(resid, unit, "__fill_u")
+    resid = _lookup(resid, u, unit).withColumn("_r", F.col("_r") - F.col("_n") * F.coalesce("__fill_u", F.lit(0.0))).drop("__fill_u")
+    v = effects(resid, visit, "__fill_v")
 
     gaps = d.where(F.col(mark))
     for side, keys in ((t, time), (u, unit), (v, visit)):
         gaps = _lookup(gaps, side, keys)
-    guess = base["mu"] + sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("_t", "_u", "_v")), F.lit(0.0))
+    guess = base["mu"] + sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("__fill_t", "__fill_u", "__fill_v")), F.lit(0.0))
     if low is not None:
         guess = F.when(guess.isNotNull(), F.greatest(guess, F.lit(low)))
     if high is not None:
@@ -96,6 +97,7 @@ def fill_category(
     string order; null group keys fall back on the wider levels; without any usable value the fill is null.
     """
     mark, out = f"{value}_was_missing", f"{value}_filled"
+    df = df.drop(mark, out)
     d = df.withColumn(mark, missing)
     listed = categories.toDF("_c").distinct()
     seen = d.where(~F.col(mark)).withColumn("_c", F.lower(F.trim(F.col(value)))).groupBy(*visit, "_c").agg(F.count(F.lit(1)).alias("_n"))
@@ -110,14 +112,14 @@ def fill_category(
     )
     gaps = d.where(F.col(mark))
     wanted = gaps.select(*visit).distinct()
-    for name, keys in (("_t", time), ("_u", unit), ("_v", visit)):
+    for name, keys in (("__fill_t", time), ("__fill_u", unit), ("__fill_v", visit)):
         wanted = _lookup(wanted, level(keys, name), keys)
 
     wanted = wanted.withColumn("_all", everything)
 
     def chance(c: Column) -> Column:
         p = F.try_element_at(F.col("_all.m"), c) / F.col("_all.n")
-        for name in ("_t", "_u", "_v"):
+        for name in ("__fill_t", "__fill_u", "__fill_v"):
             p = (F.coalesce(F.try_element_at(F.col(name), c), F.lit(0.0)) + prior * p) / (F.coalesce(F.col(f"{name}n"), F.lit(0.0)) + prior)
         return p
 

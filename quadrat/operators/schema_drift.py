@@ -90,6 +90,7 @@ def path_values(files: DataFrame, lines: DataFrame, aliases: dict[str, tuple[str
     without lines, give no row. ``fields`` is null where no alias names the header. Missing trailing
     values are null, surplus ones are dropped.
     """
+    lines = lines.select("file_id", "line_no", "line")
     header = lines.where(F.col("line_no") == 0).groupBy("file_id").agg(F.min("line").alias("_h"))
     header = header.withColumn("_d", delimiter_of(F.col("_h")))
     paths = F.transform(split_fields(F.col("_h"), F.col("_d")), plain_header)
