@@ -77,11 +77,15 @@ def _words(expr: str) -> str:
 
 def _spellings_sql(view: str) -> str:
     """Each distinct value with the spellings to look up, best first: as it is, and without filler words."""
-    filler = "|".join(w.replace(" ", "  ") for w in FILLER_WORDS)
+    single = "|".join(w for w in FILLER_WORDS if " " not in w)
+    every = "|".join(w.replace(" ", "  ") for w in FILLER_WORDS)
+
+    def without(filler: str) -> str:
+        return f"nullif(trim(regexp_replace(regexp_replace(concat(' ', replace(plain, ' ', '  '), ' '), ' ({filler}) ', ' '), ' +', ' ')), '')"
+
     return rf"""
-      SELECT field, value, plain, core, replace(core, ' ', '') AS tight FROM (
-        SELECT field, value, plain,
-               coalesce(nullif(trim(regexp_replace(regexp_replace(concat(' ', replace(plain, ' ', '  '), ' '), ' ({filler}) ', ' '), ' +', ' ')), ''), plain) AS core
+      SELECT field, value, plain, replace(coalesce(core, loose, plain), ' ', '') AS tight, replace(loose, ' ', '') AS loose FROM (
+        SELECT field, value, plain, {without(every)} AS core, {without(single)} AS loose
         FROM (SELECT field, value, {_words("value")} AS plain FROM (SELECT DISTINCT field, value FROM {view})))"""
 
 
@@ -113,7 +117,7 @@ def map_values(spark: SparkSession, values: DataFrame, reference: DataFrame, syn
     return spark.sql(f"""
       WITH exact AS (
         SELECT s.field, s.value, min(named_struct('rank', CASE WHEN t.tight = replace(s.plain, ' ', '') THEN 0 ELSE 1 END, 'ref_id', t.ref_id)) AS m
-        FROM (SELECT field, value, plain, explode(array_distinct(array(replace(plain, ' ', ''), tight, regexp_replace(tight, 's$', ''), regexp_replace(tight, '(crops?|paddock)$', '')))) AS form FROM q_spellings) s
+        FROM (SELECT field, value, plain, explode(array_distinct(array(replace(plain, ' ', ''), tight, loose, regexp_replace(tight, 's$', ''), regexp_replace(tight, '(crops?|paddock)$', '')))) AS form FROM q_spellings) s
         JOIN q_terms t ON s.field = t.field AND s.form = t.tight
         GROUP BY s.field, s.value),
       rest AS (SELECT s.field, s.value, s.tight FROM q_spellings s LEFT ANTI JOIN exact e ON s.field = e.field AND s.value <=> e.value WHERE length(s.tight) BETWEEN 3 AND 64),
