@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.nullsafe import join_ns
+from quadrat.sources.tables import cut
 
 
 def _lookup(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,23 +44,20 @@ def fill_numeric(
     d = df.withColumn(mark, missing)
     y = F.col(value).cast("double")
     seen = d.where(~F.col(mark)).groupBy(*visit).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_ss"))
-    total = seen.agg(
-        (F.sum("_s") / F.sum("_n")).alias("mu"),
-        F.greatest(F.lit(1e-6), (F.sum("_ss") - F.sum(F.col("_s") * F.col("_s") / F.col("_n"))) / F.greatest(F.lit(1), F.sum("_n") - F.count(F.lit(1)))).alias("within"),
-    ).select(F.struct("mu", "within").alias("x"))
-    base = total.scalar()
-
-    def ratio(level: DataFrame) -> Column:
-        """Within-visit variance over the variance of the level's effects: the pseudo-count that shrinks it."""
-        spread = level.agg(F.avg((F.col("_r") / F.col("_n")) * (F.col("_r") / F.col("_n"))).alias("v"), F.avg(1 / F.col("_n")).alias("h"))
-        between = spread.select(F.struct("v", "h").alias("x")).scalar()
-        return base["within"] / F.greatest(F.lit(1e-6), between["v"] - base["within"] * between["h"])
+    seen = cut(seen)  # one row for each visit; the levels are fitted on it
+    total = seen.agg(F.sum("_s") / F.sum("_n"), (F.sum("_ss") - F.sum(F.col("_s") * F.col("_s") / F.col("_n"))) / F.greatest(F.lit(1), F.sum("_n") - F.count(F.lit(1)))).head()
+    mu, within = total[0], max(1e-6, total[1] or 0.0)
+    if mu is None:
+        return d.withColumn(out, F.when(~F.col(mark), y))
 
     def effects(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Effect of each group, its mean residual shrunk by the pseudo-count within / between."""
         level = rows.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
-        return level.select(*keys, (F.col("_r") / (F.col("_n") + ratio(level))).alias(name))
+        spread = level.agg(F.avg((F.col("_r") / F.col("_n")) * (F.col("_r") / F.col("_n"))), F.avg(1 / F.col("_n"))).head()
+        k = within / max(1e-6, spread[0] - within * spread[1])
+        return level.select(*keys, (F.col("_r") / (F.col("_n") + k)).alias(name))
 
-    resid = seen.select(*visit, "_n", (F.col("_s") - F.col("_n") * base["mu"]).alias("_r"))
+    resid = seen.select(*visit, "_n", (F.col("_s") - F.col("_n") * mu).alias("_r"))
     t = effects(resid, time, "__fill_t")
     resid = _lookup(resid, t, time).withColumn("_r", F.col("_r") - F.col("_n") * F.coalesce("__fill_t", F.lit(0.0))).drop("__fill_t")
     u = effects(resid, unit, "__fill_u")
@@ -69,7 +67,7 @@ def fill_numeric(
     gaps = d.where(F.col(mark))
     for side, keys in ((t, time), (u, unit), (v, visit)):
         gaps = _lookup(gaps, side, keys)
-    guess = base["mu"] + sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("__fill_t", "__fill_u", "__fill_v")), F.lit(0.0))
+    guess = F.lit(mu) + sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("__fill_t", "__fill_u", "__fill_v")), F.lit(0.0))
     if low is not None:
         guess = F.when(guess.isNotNull(), F.greatest(guess, F.lit(low)))
     if high is not None:
@@ -101,29 +99,28 @@ def fill_category(
     d = df.withColumn(mark, missing)
     listed = categories.toDF("_c").distinct()
     seen = d.where(~F.col(mark)).withColumn("_c", F.lower(F.trim(F.col(value)))).groupBy(*visit, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    seen = seen.join(F.broadcast(listed), "_c", "left_semi")  # the reference list: one row for each canonical value
+    seen = cut(seen.join(F.broadcast(listed), "_c", "left_semi"))  # the reference list: one row for each canonical value
 
     def level(keys: list[str], name: str) -> DataFrame:
         counts = seen.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n"))
         return counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_c", F.col("_n").cast("double")))).alias(name), F.sum("_n").cast("double").alias(f"{name}n"))
 
-    everything = (
-        seen.groupBy("_c").agg(F.sum("_n").cast("double").alias("_n")).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("m"), F.sum("_n").alias("n")).select(F.struct("m", "n").alias("x")).scalar()
-    )
+    every = seen.groupBy("_c").agg(F.sum("_n")).collect()  # no more rows than there are categories
+    if not every:
+        return d.withColumn(out, F.when(~F.col(mark), F.col(value)))
+    whole = float(sum(r[1] for r in every))
     gaps = d.where(F.col(mark))
     wanted = gaps.select(*visit).distinct()
     for name, keys in (("__fill_t", time), ("__fill_u", unit), ("__fill_v", visit)):
         wanted = _lookup(wanted, level(keys, name), keys)
 
-    wanted = wanted.withColumn("_all", everything)
-
-    def chance(c: Column) -> Column:
-        p = F.try_element_at(F.col("_all.m"), c) / F.col("_all.n")
+    def chance(c: str, n: int) -> Column:
+        p = F.lit(n / whole)
         for name in ("__fill_t", "__fill_u", "__fill_v"):
-            p = (F.coalesce(F.try_element_at(F.col(name), c), F.lit(0.0)) + prior * p) / (F.coalesce(F.col(f"{name}n"), F.lit(0.0)) + prior)
+            p = (F.coalesce(F.try_element_at(F.col(name), F.lit(c)), F.lit(0.0)) + prior * p) / (F.coalesce(F.col(f"{name}n"), F.lit(0.0)) + prior)
         return p
 
-    scored = F.transform(F.map_keys("_all.m"), lambda c: F.struct(chance(c).alias("p"), c.alias("c")))
+    scored = F.array(*[F.struct(chance(c, n).alias("p"), F.lit(c).alias("c")) for c, n in every])
     best = wanted.select(*visit, F.array_max(scored)["c"].alias(out))
     filled = join_ns(gaps, best, visit, "left").select(*d.columns, out)
     return d.where(~F.col(mark)).withColumn(out, F.col(value)).unionByName(filled)
