@@ -48,6 +48,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pick(_nights(spark, d, False), TRAPS).unionByName(pick(_visits(spark, d, False), VISITS))
 
 
+def p2_night_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Size, smallest id and best record of each trap night."""
+    return _nights(spark, d, False).drop("n_skyline")
+
+
 def p2_nights(spark: SparkSession, d: str) -> DataFrame:
     """One merged record for each trap night."""
     return _nights(spark, d)
@@ -148,4 +153,10 @@ def p10_tokens(spark: SparkSession, d: str) -> DataFrame:
     return garbled.damaged_tokens(garbled.vocabulary(table(spark, d, "documents", "text"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nights, p2_visits, p6_found, p6_values, p7_found, p7_matches, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_tokens)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_night_survivors, p2_nights, p2_visits, p6_found, p6_values, p7_found, p7_matches, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_tokens)}
+
+_FULL = " + ".join(f"({c} IS NOT NULL)::INT" for c in NIGHT_FIELDS)
+SQL = {
+    "p2_night_survivors": f"""SELECT site_data_id, trap_type, date, count(*) AS n_records, min(record_id) AS first_id, first(record_id ORDER BY {_FULL} DESC, entered_at DESC, source_rank, record_id) AS survivor_id
+      FROM data_monitoring_traps_clean WHERE date BETWEEN DATE '2008-12-01' AND DATE '2025-11-30' GROUP BY ALL""",
+}
