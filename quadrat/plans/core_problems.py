@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import calendar as cal
-from quadrat.functions.missing import count_missing, text_missing
+from quadrat.functions.missing import PLACEHOLDERS, count_missing, text_missing
 from quadrat.operators import impute, nearby, regular_grid, schema_drift
 from quadrat.sources.tables import table
 
@@ -127,3 +127,35 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_grid, p4_found, p4_changes, p4_table, p5_found, p5_zones)}
+
+# SQL for the queries that it can express over whole tables -------------------------------------------------
+
+_PLAIN = r"trim(regexp_replace(lower(crop_type), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_NO_TEXT = f"coalesce({_PLAIN} IN ({', '.join(repr(p) for p in PLACEHOLDERS)}) OR regexp_matches({_PLAIN}, '^9{{2,}}( 0+)?$'), true)"
+_LETTERS = "regexp_replace(lower(season), '[^a-z]', '', 'g')"
+_SEASON = f"""CASE WHEN {_LETTERS} IN ('djf', 'decfeb') THEN 0 WHEN {_LETTERS} IN ('mam', 'marmay') THEN 1 WHEN {_LETTERS} IN ('jja', 'junaug') THEN 2 WHEN {_LETTERS} IN ('son', 'sepnov') THEN 3
+  WHEN {_LETTERS}[1:2] = 'su' THEN 0 WHEN {_LETTERS}[1:2] = 'au' THEN 1 WHEN {_LETTERS}[1:2] = 'wi' THEN 2 WHEN {_LETTERS}[1:2] = 'sp' THEN 3 END"""
+_STEP = f"""CAST(CASE WHEN date BETWEEN DATE '2008-12-01' AND DATE '2025-11-30' THEN (year(date) + CASE WHEN month(date) = 12 THEN 1 ELSE 0 END) * 4 + (month(date) % 12) // 3 ELSE year_adj * 4 + {_SEASON} END AS INTEGER)"""
+_GRID = f"""r AS (SELECT site_data_id, {_STEP} AS step, mice_night FROM (SELECT site_data_id, date, season, year_adj, mice_night FROM data_monitoring_traps_clean UNION ALL SELECT site_data_id, date, season, year_adj, mice_night FROM counts_grids_mallee)),
+  c AS (SELECT site_data_id, step, count(*) AS n_readings, avg(nullif(mice_night, 'NaN'::DOUBLE)) AS value FROM r WHERE step IS NOT NULL GROUP BY ALL),
+  g AS (SELECT site_data_id, CAST(unnest(generate_series(min(step), max(step))) AS INTEGER) AS step FROM c GROUP BY 1),
+  j AS (SELECT g.site_data_id, g.step, n_readings, value, last_value(CASE WHEN n_readings IS NOT NULL THEN g.step END IGNORE NULLS) OVER b AS prev_step, first_value(CASE WHEN n_readings IS NOT NULL THEN g.step END IGNORE NULLS) OVER f AS next_step,
+    last_value(CASE WHEN value IS NOT NULL THEN {{'s': g.step, 'v': value}} END IGNORE NULLS) OVER b AS a, first_value(CASE WHEN value IS NOT NULL THEN {{'s': g.step, 'v': value}} END IGNORE NULLS) OVER f AS z FROM g LEFT JOIN c USING (site_data_id, step)
+    WINDOW b AS (PARTITION BY g.site_data_id ORDER BY g.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY g.site_data_id ORDER BY g.step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+_NAME = "CASE step % 4 WHEN 0 THEN 'Summer' WHEN 1 THEN 'Autumn' WHEN 2 THEN 'Winter' ELSE 'Spring' END AS season"
+_ZONES = """e AS (SELECT ae_zone, piece_no, lons[i] AS x1, lats[i] AS y1, lons[i + 1] AS x2, lats[i + 1] AS y2 FROM (SELECT ae_zone, piece_no, lons, lats, unnest(generate_series(1, len(lons) - 1)) AS i FROM ae_zones)),
+  p AS (SELECT site_data_id AS id, longitude AS x, latitude AS y FROM site_data WHERE longitude BETWEEN 110 AND 155 AND latitude BETWEEN -45 AND -10),
+  h AS (SELECT id, ae_zone, piece_no FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+  z AS (SELECT id, coalesce(min(ae_zone), 'none') AS ae_zone FROM p LEFT JOIN h USING (id) GROUP BY 1)"""
+
+SQL = {
+    "p1_found": f"""SELECT 'data_monitoring_traps_clean' AS table_name, record_id AS row_id, 'crop_type' AS field_name FROM data_monitoring_traps_clean WHERE {_NO_TEXT}
+      UNION ALL SELECT 'data_monitoring_traps_clean', record_id, 'phantoms' FROM data_monitoring_traps_clean WHERE NOT coalesce(phantoms BETWEEN 0 AND 100, false)
+      UNION ALL SELECT 'data_long', long_id, 'traps' FROM data_long WHERE NOT coalesce(traps BETWEEN 0 AND 100, false)""",
+    "p3_found": f"WITH {_GRID} SELECT site_data_id, CAST(step // 4 AS INTEGER) AS year_adj, {_NAME} FROM j WHERE n_readings IS NULL",
+    "p3_grid": f"""WITH {_GRID}, v AS (SELECT *, CASE WHEN n_readings IS NOT NULL THEN value WHEN z.s - a.s <= 4 THEN a.v + (z.v - a.v) * (step - a.s) / (z.s - a.s) END AS m FROM j)
+      SELECT site_data_id, CAST(step // 4 AS INTEGER) AS year_adj, {_NAME}, coalesce(n_readings, 0) AS n_readings, round(m, 6) AS mice_mean, prev_step, next_step, CASE WHEN n_readings IS NOT NULL THEN 'read' WHEN m IS NOT NULL THEN 'filled' ELSE 'gap' END AS status FROM v""",
+    "p5_found": f"""WITH {_ZONES} SELECT a.id AS first_id, b.id AS second_id, z.ae_zone FROM p a JOIN p b ON a.id < b.id AND abs(a.y - b.y) < 0.005 AND abs(a.x - b.x) < 0.01
+      AND 2 * 6371000 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 500 JOIN z ON z.id = a.id""",
+    "p5_zones": f"""WITH {_ZONES} SELECT z.id AS site_data_id, z.ae_zone, s.ae_zone AS stated_zone, coalesce(lower(trim(s.ae_zone, ' ')) = lower(z.ae_zone), false) AS agrees FROM z LEFT JOIN data_list_ae_exp_rain_soil s ON s.site_data_id = z.id""",
+}
