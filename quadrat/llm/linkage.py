@@ -23,7 +23,6 @@ RULES = (
     (("farm", "place", "number"), ("region",)),
     (("person", "place", "number"), ("region",)),
     (("place", "number"), ("region", "farm", "person")),
-    (("region", "farm", "person", "number"), ("place",)),
     (("region", "cell", "number"), ("place",)),
 )
 CELL_DEGREES = 0.02
