@@ -159,3 +159,28 @@ SQL = {
       AND 2 * 6371000 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 500 JOIN z ON z.id = a.id""",
     "p5_zones": f"""WITH {_ZONES} SELECT z.id AS site_data_id, z.ae_zone, s.ae_zone AS stated_zone, coalesce(lower(trim(s.ae_zone, ' ')) = lower(z.ae_zone), false) AS agrees FROM z LEFT JOIN data_list_ae_exp_rain_soil s ON s.site_data_id = z.id""",
 }
+
+
+def _split_sql(line: str) -> str:
+    cases = " ".join(f"WHEN {d!r} THEN regexp_extract_all({d!r} || {line}, '{e}(?:\"(?:[^\"]|\"\")*\"|[^{e}]*)')" for d, e in ((",", ","), (";", ";"), ("|", "\\|"))) + f" ELSE regexp_extract_all(chr(9) || {line}, '\\t(?:\"(?:[^\"]|\"\")*\"|[^\\t]*)')"
+    return f"list_transform(CASE d {cases} END, lambda x: CASE WHEN trim(x[2:]) LIKE '\"%\"' THEN replace(trim(x[2:])[2:-2], '\"\"', '\"') ELSE trim(x[2:]) END)"
+
+
+_N = lambda d: f"length(h) - length(replace(h, {d}, ''))"
+_ALIASES = ", ".join(f"('{n}', '{f}')" for f, names in schema_drift.HEADER_ALIASES.items() for n in names)
+_DAY, _MON = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])"
+_DATE = rf"(\d{{4}}[-/.]{_MON}[-/.]{_DAY}|{_DAY}[-/. ]{_MON}[-/. ]\d{{2,4}}|{_DAY}[- ]({schema_drift.MONTHS})[a-z]*[-, ]+\d{{2,4}})"
+_CHANGES = rf"""WITH al(path, field) AS (VALUES {_ALIASES}),
+  h AS (SELECT file_id, min(line) AS h FROM intake_lines WHERE line_no = 0 GROUP BY 1),
+  d AS (SELECT file_id, h, CASE greatest({_N("','")}, {_N("';'")}, {_N("chr(9)")}, {_N("'|'")}) WHEN {_N("','")} THEN ',' WHEN {_N("';'")} THEN ';' WHEN {_N("chr(9)")} THEN chr(9) ELSE '|' END AS d FROM h),
+  p AS (SELECT file_id, d, list_transform({_split_sql("h")}, lambda x: regexp_replace(lower(x), '[\s._]+', '', 'g')) AS paths FROM d),
+  c AS (SELECT file_id, unnest(paths) AS path, unnest(generate_series(1, len(paths))) AS i FROM p),
+  v AS (SELECT file_id, unnest(s) AS v, unnest(generate_series(1, len(s))) AS i FROM (SELECT l.file_id, {_split_sql("line")} AS s FROM intake_lines l JOIN p USING (file_id) WHERE line_no > 0)),
+  k AS (SELECT file_id, i, CASE WHEN bool_and(regexp_full_match(v, '[+-]?\d+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '[+-]?(\d+\.\d*|\.\d+|\d+)')) THEN 'decimal' WHEN bool_and(regexp_full_match(lower(v), '{_DATE}')) THEN 'date' ELSE 'text' END AS kind FROM v WHERE v <> '' GROUP BY ALL),
+  f AS (SELECT file_id, coalesce(al.field, c.path) AS field_name, arg_min({{'path': c.path, 'kind': k.kind}}, c.path) AS c FROM c LEFT JOIN k USING (file_id, i) LEFT JOIN al ON al.path = c.path GROUP BY ALL),
+  q AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed_id ORDER BY file_no, file_id) AS before FROM intake_files SEMI JOIN h USING (file_id)),
+  j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.field_name, b.field_name) AS field_name, a.c AS a, b.c AS b FROM (SELECT f.* FROM f JOIN q USING (file_id) WHERE before IS NOT NULL) a
+    FULL JOIN (SELECT q.file_id, field_name, c FROM q JOIN f ON f.file_id = q.before) b ON a.file_id = b.file_id AND a.field_name = b.field_name)
+  SELECT file_id, 'added' AS change_kind, field_name, CAST(NULL AS VARCHAR) AS before, a.path AS after FROM j WHERE b IS NULL UNION ALL SELECT file_id, 'removed', field_name, b.path, NULL FROM j WHERE a IS NULL
+  UNION ALL SELECT file_id, 'renamed', field_name, b.path, a.path FROM j WHERE a.path <> b.path UNION ALL SELECT file_id, 'retyped', field_name, b.kind, a.kind FROM j WHERE a.kind <> b.kind"""
+SQL |= {"p4_changes": _CHANGES, "p4_found": f"SELECT file_id, change_kind, field_name FROM ({_CHANGES})"}
