@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +21,10 @@ _CONTRACT = (("record_id", "double", True), ("region", "string", True), ("farmer
 
 def _csv_folder(spark: SparkSession, d: str) -> str:
     """The trap nights written as CSV files, one folder for each trap type."""
-    folder = tempfile.mkdtemp(prefix="csv-", dir=shared_folder(spark).removeprefix("file://"))
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     t = table(spark, d, TRAPS, "record_id", "region", "farmer", F.date_format("date", "d/M/yyyy").alias("date"), "traps_set", "trap_type")
-    files.write_csv(t, f"file://{folder}/in", by="trap_type")
-    return f"file://{folder}"
+    files.write_csv(t, f"{folder}/in", by="trap_type")
+    return folder
 
 
 @R.add("SELECT CAST(record_id AS DOUBLE) AS record_id, region, nullif(trim(farmer, ' '), '') AS farmer, date, traps_set FROM data_monitoring_traps_clean")

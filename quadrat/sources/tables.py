@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -18,16 +17,6 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def fixed_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint for a reference table, given only when it is known to be small.
-
-    The optimizer's own size estimate decides; a table estimated above ``max_rows`` rows of
-    100 bytes keeps the planner's choice of a shuffled join, so the result is the same.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= max_rows * 100 else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
