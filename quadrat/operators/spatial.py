@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.operators.nearby import EARTH_M
+from quadrat.operators.nearby import EARTH_M, haversine_m
 
 
 def cell_of(lon: Column, lat: Column, grid: dict[str, float]) -> tuple[Column, Column]:
@@ -129,3 +129,62 @@ def looks_swapped(lon: Column, lat: Column, box: tuple[float, float, float, floa
     w, e, s, n = box
     inside = lambda x, y: F.coalesce(x.between(w, e) & y.between(s, n), F.lit(False))
     return ~inside(lon, lat) & inside(lat, lon)
+
+
+def _clip(ring: list[tuple[float, float]], convex: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Part of a ring inside a convex ring, both not closed; the convex one runs counter-clockwise."""
+    out = ring
+    for i, (ax, ay) in enumerate(convex):
+        bx, by = convex[(i + 1) % len(convex)]
+        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: E731, B023
+        kept = []
+        for j, p in enumerate(out):
+            q = out[(j + 1) % len(out)]
+            s, t = side(p), side(q)
+            if s >= 0:
+                kept.append(p)
+            if (s > 0 > t) or (s < 0 < t):
+                f = s / (s - t)
+                kept.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
+        out = kept
+        if not out:
+            break
+    return out
+
+
+def clip_rings(rings: DataFrame, lons: str, lats: str, convex: list[tuple[float, float]]) -> DataFrame:
+    """``rings`` cut to a convex region (counter-clockwise corners); rings wholly outside are left out.
+
+    Holes are cut like the pieces they belong to, so even-odd counting holds on the result.
+    """
+    columns = rings.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cut = [_clip(list(zip(x, y))[:-1], convex) for x, y in zip(b[lons], b[lats])]
+            b = b.assign(**{lons: [[p[0] for p in [*c, *c[:1]]] for c in cut], lats: [[p[1] for p in [*c, *c[:1]]] for c in cut]})
+            yield b[[len(c) >= 3 for c in cut]][columns]
+
+    return rings.mapInPandas(run, rings.schema)
+
+
+def ring_area(lons: str, lats: str) -> Column:
+    """Area in square degrees of a closed ring."""
+    x, y = (lambda i: F.get(F.col(lons), i)), (lambda i: F.get(F.col(lats), i))
+    parts = F.transform(F.sequence(F.lit(0), F.size(lons) - 2), lambda i: x(i) * y(i + 1) - x(i + 1) * y(i))
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)) / 2
+
+
+def buffer_cover(points: DataFrame, key: str, lon: str, lat: str, metres: float, cell: float) -> DataFrame:
+    """(key, row, col): the union of the circles around a group's points, as the grid cells whose centre they cover.
+
+    Cells are counted from 0 degrees. Points of the same cell look at the same candidates, and cells are made distinct with
+    partial sums before the shuffle, so a group with many points costs no more than the area that it covers.
+    """
+    p = points.select(key, lon, lat).where(F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)).distinct()
+    dy = metres / (EARTH_M * radians(1))
+    r = lambda c, d: F.sequence(F.floor((c - d) / cell), F.floor((c + d) / cell))
+    p = p.select("*", F.explode(r(F.col(lat), F.lit(dy))).alias("row"))
+    p = p.select("*", F.explode(r(F.col(lon), F.lit(dy) / F.cos(F.radians(F.abs(F.col(lat)) + dy)))).alias("col"))
+    near = haversine_m(F.col(lon), F.col(lat), (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell) <= metres
+    return p.where(near).select(key, "row", "col").distinct()

@@ -82,6 +82,28 @@ def region_hulls(spark: SparkSession, d: str) -> DataFrame:
     return spatial.convex_hulls(s, "region", "longitude", "latitude")
 
 
+_AREA = "abs(list_sum(list_transform(generate_series(1, len(lons) - 1), lambda i: lons[i] * lats[i + 1] - lons[i + 1] * lats[i]))) / 2"
+
+
+@R.add(f"""SELECT ring_id, round({_AREA}, 6) AS area, round({_AREA}, 6) AS parts_area FROM ae_zones""")
+def zone_split(spark: SparkSession, d: str) -> DataFrame:
+    """Area of each ring, and of its parts north and south of a parallel together."""
+    z = table(spark, d, "ae_zones", "ring_id", "lons", "lats")
+    north, south = ([(0.0, a), (180.0, a), (180.0, b), (0.0, b)] for a, b in ((-31.0, 0.0), (-60.0, -31.0)))
+    area = spatial.ring_area("lons", "lats")
+    parts = spatial.clip_rings(z, "lons", "lats", north).unionByName(spatial.clip_rings(z, "lons", "lats", south)).groupBy("ring_id").agg(F.round(F.sum(area), 6).alias("parts_area"))
+    return z.select("ring_id", F.round(area, 6).alias("area")).join(parts, "ring_id")
+
+
+@R.add(f"""WITH p AS (SELECT DISTINCT region, longitude AS x, latitude AS y, degrees(2000 / 6371000.0) AS dy FROM site_data WHERE {_OK}), r AS (SELECT *, unnest(generate_series(CAST(floor((y - dy) / 0.005) AS BIGINT), CAST(floor((y + dy) / 0.005) AS BIGINT))) AS row FROM p),
+  c AS (SELECT *, unnest(generate_series(CAST(floor((x - dy / cos(radians(abs(y) + dy))) / 0.005) AS BIGINT), CAST(floor((x + dy / cos(radians(abs(y) + dy))) / 0.005) AS BIGINT))) AS col FROM r)
+  SELECT region, count(DISTINCT (row, col)) AS n_cells FROM c WHERE 2 * 6371000 * asin(sqrt(pow(sin(radians((row + 0.5) * 0.005 - y) / 2), 2) + cos(radians(y)) * cos(radians((row + 0.5) * 0.005)) * pow(sin(radians((col + 0.5) * 0.005 - x) / 2), 2))) <= 2000 GROUP BY region""")
+def region_buffer_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of 0.005 degrees within 2 km of any paddock of each region."""
+    s = table(spark, d, "site_data", "region", "longitude", "latitude").where(nearby.in_box(F.col("longitude"), F.col("latitude"), BOX))
+    return spatial.buffer_cover(s, "region", "longitude", "latitude", 2000.0, 0.005).groupBy("region").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 @R.add("""SELECT site_data_id, longitude BETWEEN 110 AND 155 AND latitude BETWEEN -45 AND -10 AS in_box, NOT (longitude BETWEEN 110 AND 155 AND latitude BETWEEN -45 AND -10) AND latitude BETWEEN 110 AND 155 AND longitude BETWEEN -45 AND -10 AS swapped FROM (SELECT site_data_id, coalesce(longitude, 0) AS longitude, coalesce(latitude, 0) AS latitude FROM site_data)""")
 def coordinate_checks(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "site_data", "site_data_id", "longitude", "latitude")

@@ -186,3 +186,15 @@ def test_new_rules_of_names_by_date(spark) -> None:
     df = spark.createDataFrame([("p", D(2014, 1, 1)), ("p", D(2015, 1, 1)), ("p", None), ("q", None), (None, None)], "s string, d date")
     rules = spark.createDataFrame([("p", "west", None, D(2015, 1, 1)), ("p", "east", D(2015, 1, 1), None)], "old string, new string, since date, before date")
     assert [r.o for r in clean.rename_by_rules(df, rules, "s", "o", day="d").orderBy(F.col("s").asc_nulls_last(), F.col("d").asc_nulls_last()).collect()] == ["west", "east", "p", "q", None]
+
+
+def test_clipping_and_cover(spark) -> None:
+    sq = lambda a, b: ([a, b, b, a, a], [a, a, b, b, a])
+    rings = spark.createDataFrame([(1, *sq(0.0, 4.0)), (2, *sq(10.0, 11.0))], "id int, lons array<double>, lats array<double>")
+    half = [(-1.0, -1.0), (2.0, -1.0), (2.0, 9.0), (-1.0, 9.0)]
+    cut = spatial.clip_rings(rings, "lons", "lats", half).withColumn("a", spatial.ring_area("lons", "lats")).collect()
+    assert [(r.id, r.a, r.lons[0] == r.lons[-1]) for r in cut] == [(1, 8.0, True)]
+    pts = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.0, 0.0), ("a", None, 0.0), ("b", 0.0, float("nan"))], "k string, x double, y double")
+    got = spatial.buffer_cover(pts, "k", "x", "y", 100_000.0, 1.0)
+    assert {(r.k, r.row, r.col) for r in got.collect()} == {("a", i, j) for i in (-1, 0) for j in (-1, 0)}
+    assert spatial.buffer_cover(pts.where("false"), "k", "x", "y", 1.0, 1.0).count() == 0
