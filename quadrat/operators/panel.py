@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quadrat.functions.nullsafe import join_ns
 
 
-def month_panel(sites: DataFrame, obs: DataFrame, keys: list[str], month: str, first: object, last: object) -> DataFrame:
-    """Every site in every month from first to last: its observations, or exactly one row of nulls."""
+def month_panel(sites: DataFrame, obs: DataFrame | None, keys: list[str], month: str, first: object, last: object) -> DataFrame:
+    """Every site in every month from first to last: its observations, or exactly one row of nulls; the bare grid without ``obs``."""
     grid = sites.select(*keys).distinct().select("*", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias(month))
-    return join_ns(grid, obs, [*keys, month], "left")
+    return grid if obs is None else join_ns(grid, obs, [*keys, month], "left")
 
 
 def season_panel(df: DataFrame, keys: list[str], ordinal: str, extra: int = 1) -> DataFrame:

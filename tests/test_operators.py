@@ -198,3 +198,19 @@ def test_clipping_and_cover(spark) -> None:
     got = spatial.buffer_cover(pts, "k", "x", "y", 100_000.0, 1.0)
     assert {(r.k, r.row, r.col) for r in got.collect()} == {("a", i, j) for i in (-1, 0) for j in (-1, 0)}
     assert spatial.buffer_cover(pts.where("false"), "k", "x", "y", 1.0, 1.0).count() == 0
+
+
+def test_model_table_invariants(spark) -> None:
+    from quadrat.plans import pipeline
+
+    got = pipeline.model_data(spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.site_data_id, []).append(r)
+    assert len(got) == len({(r.site_data_id, r.season_ord) for r in got}) > 0
+    for rs in by.values():
+        steps = sorted(r.season_ord for r in rs)
+        assert steps == list(range(steps[0], steps[-1] + 1)) and max(r.season_ord for r in rs if r.n_trial is not None) < steps[-1]
+        assert sum(r.mice_prop is not None for r in rs) > 1
+    assert all(r.mice_prop is None or 0.001 <= r.mice_prop <= 0.999 for r in got)
+    assert {r.time for r in got} == set(range(1, len({r.season_ord for r in got}) + 1))
