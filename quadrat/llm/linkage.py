@@ -58,14 +58,15 @@ def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: s
             b = reg.select(F.col("id").alias("reg"), *[c for c in keep if c != "cell"], F.explode(_cells("longitude", "latitude", False)).alias("cell"))
         else:
             a, b = open_.select(F.col("id").alias("rec"), *keep), reg.select(F.col("id").alias("reg"), *keep)
-        b = b.select("reg", *keys, *[F.col(c).alias(f"g_{c}") for c in keep if c not in keys])
+        # one row for each combination of the registry's values, however many entries share it
+        b = b.groupBy(*keys, *[F.col(c).alias(f"g_{c}") for c in keep if c not in keys]).agg(F.count(F.lit(1)).alias("n"), F.min("reg").alias("reg"))
         met = a.join(b, list(keys))
         for g in guards:
             met = met.where(F.col(g).isNull() | F.col(f"g_{g}").isNull() | (F.col(g) == F.col(f"g_{g}")))
         # of several entries, those whose farm kind is the stated one count
         fits = (F.col("kind") == F.col("g_kind")) if "farm" in keys else F.lit(True)
-        one = met.groupBy("rec").agg(F.collect_set("reg").alias("all"), F.collect_set(F.when(fits, F.col("reg"))).alias("fit"))
-        one = one.select("rec", F.when(F.size("all") == 1, F.get("all", F.lit(0))).when(F.size("fit") == 1, F.get("fit", F.lit(0))).alias("reg")).where("reg is not null").withColumn("rule_no", F.lit(no))
+        one = met.groupBy("rec").agg(F.sum("n").alias("n"), F.min("reg").alias("reg"), F.sum(F.when(fits, F.col("n"))).alias("fit_n"), F.min(F.when(fits, F.col("reg"))).alias("fit_reg"))
+        one = one.select("rec", F.when(F.col("n") == 1, F.col("reg")).when(F.col("fit_n") == 1, F.col("fit_reg")).alias("reg")).where("reg is not null").withColumn("rule_no", F.lit(no))
         one = cut(one)  # each pass builds on the one before
         out = one if out is None else out.unionByName(one)
         open_ = open_.join(one.select(F.col("rec").alias("id")), "id", "left_anti")
