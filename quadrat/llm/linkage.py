@@ -1,9 +1,10 @@
 """Matching entities without keys: a deterministic cascade of exact joins on ever weaker combinations.
 
-Attributes are first brought to canonical spellings. Each rule then joins the records that are still
-open to the registry on its attributes; a record is resolved if exactly one entry meets it, and leaves
-the cascade by an anti join. A pair's confidence is the rule's precision, smoothed, as labelled by an
-attribute that the rule does not use: the distance between the coordinates, or the holder's surname.
+Attributes are first brought to canonical spellings. Each pass joins the records that are still open
+to the registry on the attributes of its rules; a record is resolved by the first rule that meets exactly one
+entry, and leaves the cascade by an anti join. The rules of a pass share one join, their number being a part of
+the key. A pair's confidence is the rule's precision, smoothed, as labelled by an attribute that the rule
+does not use: the distance between the coordinates, or the holder's surname.
 """
 
 from __future__ import annotations
@@ -15,28 +16,66 @@ from quadrat.llm import names
 from quadrat.operators.nearby import haversine_m, in_box
 from quadrat.sources.tables import cut
 
-# The rules in order: attributes that must be equal, and attributes that may not be known and different.
-RULES = (
-    (("region", "farm", "place", "number"), ()),
-    (("region", "person", "place", "number"), ()),
-    (("region", "place", "number"), ()),
-    (("farm", "place", "number"), ("region",)),
-    (("person", "place", "number"), ("region",)),
-    (("place", "number"), ("region", "farm", "person")),
-    (("region", "cell", "number"), ("place",)),
+# The passes, each with its rules in order: attributes that must be equal, and attributes that may not be known and different.
+PASSES = (
+    (
+        (("region", "farm", "place", "number"), ()),
+        (("region", "person", "place", "number"), ()),
+        (("region", "place", "number"), ()),
+    ),
+    (
+        (("farm", "place", "number"), ("region",)),
+        (("person", "place", "number"), ("region",)),
+        (("place", "number"), ("region", "farm", "person")),
+        (("region", "cell", "number"), ("place",)),
+    ),
 )
 CELL_DEGREES = 0.02
 AGREE_M = 5_000.0
 BOX = (110.0, 155.0, -45.0, -10.0)
 
 
-def _cells(lon: str, lat: str, spread: bool) -> Column:
-    x, y = F.floor(F.col(lon) / CELL_DEGREES), F.floor(F.col(lat) / CELL_DEGREES)
+def _cells(spread: bool) -> Column:
+    x, y = F.floor(F.col("longitude") / CELL_DEGREES), F.floor(F.col("latitude") / CELL_DEGREES)
     steps = (-1, 0, 1) if spread else (0,)
     return F.array(*[F.concat_ws(":", (x + i).cast("string"), (y + j).cast("string")) for i in steps for j in steps])
 
 
-def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, rules: tuple = RULES) -> DataFrame:
+def _keys(rules: tuple, first_no: int, spread: bool) -> Column:
+    """Array of (rule_no, key) of the rules whose attributes are all known; a cell has all its neighbours if ``spread``."""
+    out = []
+    for no, (names_, _) in enumerate(rules, first_no):
+        known = None
+        for c in names_:
+            ok = (F.col("longitude").isNotNull() & F.col("latitude").isNotNull()) if c == "cell" else F.col(c).isNotNull()
+            known = ok if known is None else known & ok
+        rest = F.concat_ws("|", *[F.col(c) for c in names_ if c != "cell"])
+        one = lambda cell, no=no, rest=rest: F.struct(F.lit(no).alias("rule_no"), F.concat_ws("|", rest, cell).alias("key"))
+        rows = F.array(*[one(F.get(_cells(spread), F.lit(i))) for i in range(9 if spread else 1)]) if "cell" in names_ else F.array(one(F.lit("")))
+        out.append(F.when(known, rows).otherwise(F.array().cast("array<struct<rule_no:int,key:string>>")))
+    return F.concat(*out)
+
+
+def _pass(records: DataFrame, registry: DataFrame, rules: tuple, first_no: int) -> DataFrame:
+    """(rec, reg, rule_no) of the records that a rule of the pass resolves."""
+    guards = ("region", "farm", "person", "place")
+    using = lambda where: [no for no, r in enumerate(rules, first_no) if where(r)]
+    a = records.select(F.col("id").alias("rec"), *guards, "kind", F.inline(_keys(rules, first_no, True)))
+    b = registry.select(F.col("id").alias("reg"), *guards, "kind", F.inline(_keys(rules, first_no, False)))
+    farms = F.col("rule_no").isin(using(lambda r: "farm" in r[0]))
+    guard = lambda g: F.when(F.col("rule_no").isin(using(lambda r: g in r[1])), F.col(g)) if using(lambda r: g in r[1]) else F.lit(None).cast("string")
+    # one row for each combination of the registry's values, however many entries share it
+    b = b.groupBy("rule_no", "key", *[guard(g).alias(f"g_{g}") for g in guards], F.when(farms, F.col("kind")).alias("g_kind")).agg(F.count(F.lit(1)).alias("n"), F.min("reg").alias("reg"))
+    met = a.join(b, ["rule_no", "key"])
+    for g in guards:
+        met = met.where(F.col(g).isNull() | F.col(f"g_{g}").isNull() | (F.col(g) == F.col(f"g_{g}")))
+    fits = ~farms | (F.col("kind") == F.col("g_kind"))  # of several entries, those whose farm kind is the stated one count
+    one = met.groupBy("rec", "rule_no").agg(F.sum("n").alias("n"), F.min("reg").alias("reg"), F.sum(F.when(fits, F.col("n"))).alias("fit_n"), F.min(F.when(fits, F.col("reg"))).alias("fit_reg"))
+    one = one.select("rec", "rule_no", F.when(F.col("n") == 1, F.col("reg")).when(F.col("fit_n") == 1, F.col("fit_reg")).alias("reg")).where("reg is not null")
+    return one.groupBy("rec").agg(F.min_by("reg", "rule_no").alias("reg"), F.min("rule_no").alias("rule_no"))
+
+
+def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, passes: tuple = PASSES) -> DataFrame:
     """(rec_id, reg_id, rule_no): each record's one entry of the registry, if a rule finds exactly one.
 
     Both sides have columns region, farm, person, place, longitude and latitude (any may be null) and
@@ -49,27 +88,18 @@ def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: s
     reg = prep(registry, reg_id)
     rec = cut(names.canonical_parts(spark, prep(records, rec_id), reg).drop(*[f"r_{p}" for p in names.PARTS]))
     reg = reg.select("id", *[F.col(f"r_{p}").alias(p) for p in names.PARTS], "kind", "number", "longitude", "latitude")
-    rec, reg = (df.withColumn("kind", F.when(F.col("kind").isNotNull(), F.substring("kind", 1, 3))) for df in (rec, reg))
-    open_, out = rec, None
-    for no, (keys, guards) in enumerate(rules, 1):
-        keep = list(dict.fromkeys([*keys, *guards, "kind"]))
-        if "cell" in keys:
-            a = open_.select(F.col("id").alias("rec"), *[c for c in keep if c != "cell"], F.explode(_cells("longitude", "latitude", True)).alias("cell"))
-            b = reg.select(F.col("id").alias("reg"), *[c for c in keep if c != "cell"], F.explode(_cells("longitude", "latitude", False)).alias("cell"))
-        else:
-            a, b = open_.select(F.col("id").alias("rec"), *keep), reg.select(F.col("id").alias("reg"), *keep)
-        # one row for each combination of the registry's values, however many entries share it
-        b = b.groupBy(*keys, *[F.col(c).alias(f"g_{c}") for c in keep if c not in keys]).agg(F.count(F.lit(1)).alias("n"), F.min("reg").alias("reg"))
-        met = a.join(b, list(keys))
-        for g in guards:
-            met = met.where(F.col(g).isNull() | F.col(f"g_{g}").isNull() | (F.col(g) == F.col(f"g_{g}")))
-        # of several entries, those whose farm kind is the stated one count
-        fits = (F.col("kind") == F.col("g_kind")) if "farm" in keys else F.lit(True)
-        one = met.groupBy("rec").agg(F.sum("n").alias("n"), F.min("reg").alias("reg"), F.sum(F.when(fits, F.col("n"))).alias("fit_n"), F.min(F.when(fits, F.col("reg"))).alias("fit_reg"))
-        one = one.select("rec", F.when(F.col("n") == 1, F.col("reg")).when(F.col("fit_n") == 1, F.col("fit_reg")).alias("reg")).where("reg is not null").withColumn("rule_no", F.lit(no))
-        one = cut(one)  # each pass builds on the one before
-        out = one if out is None else out.unionByName(one)
-        open_ = open_.join(one.select(F.col("rec").alias("id")), "id", "left_anti")
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    rec, reg = (df.select("id", *cols, F.substring("kind", 1, 3).alias("kind"), "number", number("longitude"), number("latitude")) for df in (rec, reg))
+    found, no = [], 1
+    for rules in passes:
+        for done in found:
+            rec = rec.join(done.select(F.col("rec").alias("id")), "id", "left_anti")
+        one = _pass(rec, reg, rules, no)
+        found.append(cut(one) if rules is not passes[-1] else one)  # the next pass builds on it
+        no += len(rules)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out.select(F.col("rec").alias(rec_id), F.col("reg").alias(reg_id), "rule_no")
 
 
@@ -83,7 +113,7 @@ def confidence(links: DataFrame, records: DataFrame, registry: DataFrame, rec_id
     b = registry.select(F.col(reg_id), F.col("longitude").alias("x2"), F.col("latitude").alias("y2"), names.surname(F.col("person")).alias("p2"))
     both = links.join(a, rec_id).join(b, reg_id)
     far = haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    on_cells = F.col("rule_no").isin([i for i, (k, _) in enumerate(RULES, 1) if "cell" in k])
+    on_cells = F.col("rule_no").isin([i for i, (k, _) in enumerate((r for p in PASSES for r in p), 1) if "cell" in k])
     placed = in_box(F.col("x1"), F.col("y1"), BOX) & in_box(F.col("x2"), F.col("y2"), BOX)
     hit = F.when(on_cells, F.col("p1") == F.col("p2")).otherwise(F.when(placed, far <= AGREE_M))
     rates = both.groupBy("rule_no").agg(F.count_if(hit).alias("h"), F.count_if(~hit).alias("m"))

@@ -14,7 +14,7 @@ from quadrat.sources.tables import table
 FIRST_DATE, LAST_DATE = dt.date(2008, 12, 1), dt.date(2025, 11, 30)
 TRAPS, VISITS = "data_monitoring_traps_clean", "data_deduplicate_surveys_season"
 NIGHT_FIELDS = ["crop_type", "crop_stage", "traps_set", "phantoms", "mice_night", "comments"]
-VISIT_RULES = tuple(linkage.RULES[i] for i in (0, 2, 3, 4))
+VISIT_PASSES = ((linkage.PASSES[0][0], linkage.PASSES[0][2]), linkage.PASSES[1][:2])
 VISIT_FIELDS = ["session_end_date", "season_year_adj", "crop_type", "crop_stage", "traps_set", "number_mice_caught"]
 
 
@@ -37,7 +37,7 @@ def _visits(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
     spelt = ["region", "site", "farmer", "subsite"]
     visits = visits.withColumn("name_id", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in spelt]))
     spellings = visits.select("name_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("latitude")).distinct()
-    known = linkage.link(spark, spellings, _registry(spark, d), "name_id", "site_data_id", VISIT_RULES).select("name_id", "site_data_id")
+    known = linkage.link(spark, spellings, _registry(spark, d), "name_id", "site_data_id", VISIT_PASSES).select("name_id", "site_data_id")
     visits = visits.join(known, "name_id", "left").withColumn("paddock", F.coalesce("site_data_id", -F.abs("name_id"))).drop(*spelt, "name_id", "site_data_id")
     visits = survivors.chained(visits, ["paddock"], "session_start_date", 3, "chain")
     return survivors.best_of_groups(visits.where("chain is not null"), ["paddock", "chain"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank", complete="complete", merge=merge)
