@@ -91,9 +91,10 @@ def _spellings_sql(view: str) -> str:
 
 def _reference_rows(spark: SparkSession, reference: DataFrame, synonyms: dict) -> DataFrame:
     """(field, ref_id, term, tight): each canonical value and its other words, all in small letters."""
-    rows = [(f, c, s) for f, m in synonyms.items() for c, words in m.items() for s in words]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [f"({quoted(f)}, {quoted(c)}, {quoted(w)})" for f, m in synonyms.items() for c, words in m.items() for w in words]
     reference.createOrReplaceTempView("q_reference")
-    spark.createDataFrame(rows or [("", "", "")], "field string, canonical string, term string").createOrReplaceTempView("q_synonyms")
+    spark.sql(f"SELECT * FROM VALUES {', '.join(rows) or "('', '', '')"} AS t(field, canonical, term)").createOrReplaceTempView("q_synonyms")
     return spark.sql(f"""
       SELECT field, min(ref_id) AS ref_id, term, replace(term, ' ', '') AS tight FROM (
         SELECT field, ref_id, {_words("canonical")} AS term FROM q_reference

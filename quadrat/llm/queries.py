@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions.missing import text_missing
-from quadrat.llm import canonical, encode, garbled, leakage, linkage, survivors
+from quadrat.llm import canonical, linkage, survivors
 from quadrat.sources.tables import table
 
 FIRST_DATE, LAST_DATE = dt.date(2008, 12, 1), dt.date(2025, 11, 30)
@@ -109,11 +109,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from quadrat.llm import encode  # loaded where it is needed: the driver stays small
+
     return encode.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose ids do not decode to their text: none are expected."""
+    from quadrat.llm import encode  # loaded where it is needed: the driver stays small
+
     docs = table(spark, d, "documents", "doc_id", "text")
     back = encode.decode(encode.encode(docs, "doc_id", "text"), "doc_id").withColumnRenamed("text", "decoded")
     return docs.join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id", "text", "decoded")
@@ -121,6 +125,8 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of tokens and characters of each document, and where its last token ends."""
+    from quadrat.llm import encode  # loaded where it is needed: the driver stays small
+
     e = encode.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", offsets=True)
     return e.select("doc_id", F.size("ids").alias("n_tokens"), F.element_at(F.concat(F.array(F.lit(0)), "ends"), -1).alias("last_end"))
 
@@ -133,11 +139,15 @@ def _leak_args(spark: SparkSession, d: str) -> tuple:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from quadrat.llm import leakage  # loaded where it is needed: the driver stays small
+
     return leakage.leaked(*_leak_args(spark, d)).select("item_id", "doc_id")
 
 
 def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     """Documents with windows of items' templates in which numbers, names or units differ."""
+    from quadrat.llm import leakage  # loaded where it is needed: the driver stays small
+
     return leakage.reparameterised(*_leak_args(spark, d))
 
 
@@ -145,11 +155,15 @@ def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from quadrat.llm import garbled  # loaded where it is needed: the driver stays small
+
     return garbled.damaged_documents(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id")
 
 
 def p10_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Garbled tokens of the corpus and what they were."""
+    from quadrat.llm import garbled  # loaded where it is needed: the driver stays small
+
     return garbled.damaged_tokens(garbled.vocabulary(table(spark, d, "documents", "text"), "text"))
 
 
