@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import asin, atan2, cos, degrees, pi, radians, sin
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.operators.nearby import EARTH_M, haversine_m
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def cell_of(lon: Column, lat: Column, grid: dict[str, float]) -> tuple[Column, Column]:
     """(row, col) of a point, counted from the grid's top left edge; null outside the grid or without coordinates.
@@ -75,6 +78,8 @@ def buffers(points: DataFrame, id_col: str, lon: str, lat: str, metres: float, s
     """(id, lons, lats): a ring around each point, null coordinates left out; batches in Arrow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for b in batches:
             rings = [ring_around(x, y, metres, sides) for x, y in zip(b[lon], b[lat])]
             yield pd.DataFrame({id_col: b[id_col], "lons": [r[0] for r in rings], "lats": [r[1] for r in rings]})
@@ -109,6 +114,8 @@ def convex_hulls(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
     schema = f"`{key}` {dict(points.dtypes)[key]}, xs array<double>, ys array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         held: dict = {}
         for b in batches:
             for k, g in b.groupby(key, dropna=False):
@@ -116,6 +123,8 @@ def convex_hulls(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
         yield pd.DataFrame({key: list(held), "xs": [[p[0] for p in h] for h in held.values()], "ys": [[p[1] for p in h] for h in held.values()]})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         h = _hull([p for xs, ys in zip(pdf["xs"], pdf["ys"]) for p in zip(xs, ys)])
         ring = [*h, h[0]]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "lons": [[p[0] for p in ring]], "lats": [[p[1] for p in ring]], "n_corners": [len(h)]})

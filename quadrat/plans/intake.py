@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import calendar as cal
-from quadrat.operators import forecast, sampler
+from quadrat.operators import forecast
 from quadrat.plans.registry import Registry
 from quadrat.sources import files
 from quadrat.sources.tables import shared_folder, table
@@ -63,6 +63,8 @@ def xml_catalogue(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def posterior_draws(spark: SparkSession, d: str) -> DataFrame:
     """Draw summaries of the sampler for each zone and season of data_long."""
+    from quadrat.operators import sampler
+
     t = table(spark, d, "data_long", "ae_zone", cal.parse_label(F.col("season_year_adj")).alias("time"), "mice", "traps").where("traps BETWEEN 1 AND 100 AND mice IS NOT NULL")
     draws = sampler.sample_draws(t.withColumn("share", F.col("mice") / F.col("traps")), "ae_zone", "time", "share", draws=100, burn=100)
     return forecast.summarise_draws(draws, "ae_zone")
