@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.missing import text_missing
 from quadrat.llm import canonical, linkage, survivors
-from quadrat.sources.tables import table
+from quadrat.sources.tables import cut, table
 
 FIRST_DATE, LAST_DATE = dt.date(2008, 12, 1), dt.date(2025, 11, 30)
 TRAPS, VISITS = "data_monitoring_traps_clean", "data_deduplicate_surveys_season"
 NIGHT_FIELDS = ["crop_type", "crop_stage", "traps_set", "phantoms", "mice_night", "comments"]
-VISIT_PASSES = ((linkage.PASSES[0][0], linkage.PASSES[0][2]), linkage.PASSES[1][:2])
 VISIT_FIELDS = ["session_end_date", "season_year_adj", "crop_type", "crop_stage", "traps_set", "number_mice_caught"]
 
 
@@ -31,14 +30,24 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "site_data", "site_data_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), "longitude", "latitude")
 
 
+def _spread(spellings: DataFrame, known: DataFrame) -> DataFrame:
+    """(place_id, site_data_id): ``known``, and for the other places of a spelling the one entry that all its known ones are, if it is one."""
+    both = spellings.join(known, "place_id", "left")
+    names_ = both.groupBy("name_id").agg(F.min("site_data_id").alias("_a"), F.max("site_data_id").alias("_b"))
+    one = names_.where("_a = _b").select("name_id", "_a")
+    return both.join(one, "name_id", "left").select("place_id", F.coalesce("site_data_id", "_a").alias("site_data_id")).where("site_data_id is not null")
+
+
 def _visits(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
-    visits = table(spark, d, VISITS, "survey_id", "region", "farmer", "site", "subsite", "session_start_date", "source_rank", "entered_at", *VISIT_FIELDS)
+    visits = table(spark, d, VISITS, "survey_id", "region", "farmer", "site", "subsite", "longitude", "latitude", "session_start_date", "source_rank", "entered_at", *VISIT_FIELDS)
     visits = visits.withColumn("complete", survivors.completeness(VISIT_FIELDS)).drop(*([] if merge else VISIT_FIELDS))
-    spelt = ["region", "site", "farmer", "subsite"]
-    visits = visits.withColumn("name_id", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in spelt]))
-    spellings = visits.select("name_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("latitude")).distinct()
-    known = linkage.link(spark, spellings, _registry(spark, d), "name_id", "site_data_id", VISIT_PASSES).select("name_id", "site_data_id")
-    visits = visits.join(known, "name_id", "left").withColumn("paddock", F.coalesce("site_data_id", -F.abs("name_id"))).drop(*spelt, "name_id", "site_data_id")
+    spelt, at = ["region", "site", "farmer", "subsite"], ["longitude", "latitude"]
+    hashed = lambda cols: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
+    visits = visits.withColumns({"name_id": hashed(spelt), "place_id": hashed(spelt + at)})
+    spellings = cut(visits.select("place_id", "name_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), *at).distinct())
+    known = cut(linkage.link(spark, spellings, _registry(spark, d), "place_id", "site_data_id").select("place_id", "site_data_id"))
+    known = _spread(spellings.select("place_id", "name_id"), known)
+    visits = visits.join(known, "place_id", "left").withColumn("paddock", F.coalesce("site_data_id", -F.abs("name_id"))).drop(*spelt, *at, "name_id", "place_id", "site_data_id")
     visits = survivors.chained(visits, ["paddock"], "session_start_date", 3, "chain")
     return survivors.best_of_groups(visits.where("chain is not null"), ["paddock", "chain"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank", complete="complete", merge=merge)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from pathlib import Path
 
 import duckdb
@@ -49,3 +50,26 @@ def test_night_survivors_match_sql(spark) -> None:
     cols = [c[0] for c in want.description]
     got = queries.p2_night_survivors(spark, str(DATA)).select(*cols)
     assert rows(got) == sorted(want.fetchall(), key=repr)
+
+
+def test_visits_are_linked_by_the_whole_cascade(spark, tmp_path) -> None:
+    registry = [
+        (1, "northern gaidu mallee", "poobelo station", "h radrana", "zebren creek 168", 140.0, -30.0),
+        (2, "lower cooyecka", "kidimo park", "w noochalong", "reedimell ridge 381", 150.0, -35.0),
+        (3, "lower cooyecka", "stazai vale", "r codriell", "reedimell ridge 381", 151.0, -35.0),
+    ]
+    spark.createDataFrame(registry, "site_data_id long, region string, site string, farmer string, subsite string, longitude double, latitude double").write.parquet(f"{tmp_path}/site_data.parquet")
+    spelt = [
+        ("northern gaidu mallee", "poobelo station", "h radrana", "zebren creek 168", None, None),
+        ("northern gaidu mallee", "poobelo station", "h radrana", "wuvuxqatt 168", None, None),  # the rule without place
+        ("northern gaidu mallee", None, None, "hoppulmirt 168", 140.0, -30.0),  # the rule of cells
+        ("northern gaidu mallee", None, None, "hoppulmirt 168", None, None),  # its spelling elsewhere
+        ("lower cooyecka", "kidimo park", "w noochalong", "reedimell ridge 381", None, None),
+        ("lower cooyecka", None, "noochalong, w", "reedimell ridge 381", None, None),  # only the holder decides
+        ("lower cooyecka", None, None, "reedimell ridge 381", None, None),  # open: two entries
+    ]
+    cols = "survey_id long, region string, site string, farmer string, subsite string, longitude double, latitude double, session_start_date date, source_rank int, entered_at timestamp, session_end_date date, season_year_adj string, crop_type string, crop_stage string, traps_set double, number_mice_caught double"
+    day = dt.date(2020, 1, 1)
+    spark.createDataFrame([(i, *r, day, 1, dt.datetime(2020, 1, 9), day, "Su_2020", None, None, 1.0, 1.0) for i, r in enumerate(spelt, 1)], cols).write.parquet(f"{tmp_path}/{queries.VISITS}.parquet")
+    got = {(r.first_id, r.n_records) for r in queries.p2_visits(spark, str(tmp_path)).collect()}
+    assert got == {(1, 4), (5, 2), (7, 1)}
