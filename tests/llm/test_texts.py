@@ -153,3 +153,10 @@ def test_long_runs_are_read_in_stretches() -> None:
 def test_tokens_of_is_linear_and_distinct(spark) -> None:
     df = spark.createDataFrame([("a" * 500_000 + " é1 é22 é3\té3",)], "t string").select(garbled.tokens_of(F.col("t")).alias("k"))
     assert df.head().k == ["é0"]
+
+
+def test_copies_of_a_damaged_text_do_not_outvote_its_witnesses(spark) -> None:
+    page = "Straße: Größe, café, 7".encode("cp1252").decode("mac_roman")
+    clean = [f"Die Straße {w} Größe. Und café {w}" for w in ("am", "im", "zum")]
+    texts = clean + [page] * 200
+    assert found(spark, texts) == set(range(len(clean), len(texts)))
