@@ -176,7 +176,14 @@ def p10_tokens(spark: SparkSession, d: str) -> DataFrame:
     return garbled.damaged_tokens(garbled.vocabulary(table(spark, d, "documents", "text"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_night_survivors, p2_nights, p2_visits, p6_found, p6_values, p7_found, p7_matches, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_tokens)}
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with their original text, as far as it can be had."""
+    from quadrat.llm import garbled  # loaded where it is needed: the driver stays small
+
+    return garbled.restored_documents(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_night_survivors, p2_nights, p2_visits, p6_found, p6_values, p7_found, p7_matches, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_tokens, p10_restored)}
 
 _FULL = " + ".join(f"({c} IS NOT NULL)::INT" for c in NIGHT_FIELDS)
 SQL = {

@@ -160,3 +160,9 @@ def test_copies_of_a_damaged_text_do_not_outvote_its_witnesses(spark) -> None:
     clean = [f"Die Straße {w} Größe. Und café {w}" for w in ("am", "im", "zum")]
     texts = clean + [page] * 200
     assert found(spark, texts) == set(range(len(clean), len(texts)))
+
+
+def test_whole_texts_are_restored_with_their_own_digits(spark) -> None:
+    texts = ["Jürgen’s\tcafé  notes:\n25°C, then 7°C–31°C on 10/12", "nothing garbled: 3°C at 12", None]  # a single weak sequence needs the witness
+    df = spark.createDataFrame([(i, t if i else damaged(t, "cp1252")) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert rows(garbled.restored_documents(df, "doc_id", "text")) == [(0, texts[0])]
