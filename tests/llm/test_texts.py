@@ -141,18 +141,18 @@ def test_twice_damaged_lost_bytes_and_pages_with_witnesses(spark) -> None:
 @settings(max_examples=60, deadline=None)
 def test_viterbi_restores_any_text(text: str) -> None:
     bad = damaged(text, "cp1252")
-    assert garbled.viterbi(bad)[0] == text or bad == text
+    assert garbled.viterbi(bad)[0][1] == text or bad == text
 
 
 def test_long_runs_are_read_in_stretches() -> None:
     text = "é地’地é" * 3_000
-    assert garbled.viterbi(damaged(text, "cp1252"))[0] == text
-    assert garbled.viterbi(text)[0] == text
+    assert garbled.viterbi(damaged(text, "cp1252"))[0][1] == text
+    assert garbled.viterbi(text)[0][1] == text
 
 
-def test_tokens_of_is_linear_and_distinct(spark) -> None:
-    df = spark.createDataFrame([("a" * 500_000 + " é1 é22 é3\té3",)], "t string").select(garbled.tokens_of(F.col("t")).alias("k"))
-    assert df.head().k == ["é0"]
+def test_words_of_is_linear_and_distinct(spark) -> None:
+    df = spark.createDataFrame([("a" * 500_000 + "1" * 500_000 + " é1 é22 é3\té3 cafés12 7°C",)], "t string").select(garbled.words_of(F.col("t")).alias("k"))
+    assert df.head().k == ["é0", "cafés", "0°C"]
 
 
 def test_copies_of_a_damaged_text_do_not_outvote_its_witnesses(spark) -> None:
@@ -165,4 +165,66 @@ def test_copies_of_a_damaged_text_do_not_outvote_its_witnesses(spark) -> None:
 def test_whole_texts_are_restored_with_their_own_digits(spark) -> None:
     texts = ["Jürgen’s\tcafé  notes:\n25°C, then 7°C–31°C on 10/12", "nothing garbled: 3°C at 12", None]  # a single weak sequence needs the witness
     df = spark.createDataFrame([(i, t if i else damaged(t, "cp1252")) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert rows(garbled.restored_documents(df, "doc_id", "text")) == [(0, texts[0])]
+    assert rows(garbled.restored_documents(df, "doc_id", "text").select("doc_id", "restored_text")) == [(0, texts[0])]
+
+
+def restored(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in garbled.restored_documents(df, "doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize(("bad", "good"), [("47Â°C", "47°C"), ("cafÃ©", "café"), ("he said â€œnoâ€�", "he said “no”"), ("Ã�frica", None)])
+def test_single_words_without_witnesses(spark, bad, good) -> None:
+    got = restored(spark, [bad])
+    assert got[0].restored_text == good if good else got[0].n_restored + got[0].n_lost == 1
+
+
+def test_lost_bytes_are_filled_by_words_that_agree_with_every_known_character(spark) -> None:
+    clean = ["un café noir", "tres cafés", "très élevé", "très bien", "três", "Größe", "Grüße", "25 °C and £5", "élève"]
+    bad = ["caf�12", "�l�ve", "�lev�", "Gr��e", "Grü�e", "tr�s", "£�", "�zz�"]
+    got = restored(spark, clean + bad)
+    out = [got[len(clean) + i].restored_text for i in range(len(bad))]
+    assert out[:6] == ["café12", "élève", "élevé", "Größe", "Grüße", "très"] and out[7] == "�zz�"
+    assert set(got) == set(range(len(clean), len(clean) + len(bad)))
+    assert (got[len(clean) + 7].n_restored, got[len(clean) + 7].n_lost) == (0, 1)
+
+
+@pytest.mark.parametrize("rounds", [2, 4, 5])
+def test_text_garbled_many_times(spark, rounds) -> None:
+    text = "Übergröße für 7 Mäuse"
+    for _ in range(rounds):
+        text = damaged(text, "cp1252")
+    assert restored(spark, [text])[0].restored_text == "Übergröße für 7 Mäuse"
+
+
+@pytest.mark.parametrize("page", ["cp1252", "mac_roman", "cp437", "cp850", "cp1251"])
+def test_share_of_planted_damage_that_is_restored_exactly(spark, page) -> None:
+    rng = random.Random(3)
+    words = ["Jürgen’s", "señal", "mínima", "ATENÇÃO", "Âge", "l’été", "Größe", "café", "wheat", "25", "naïve", "Ночью", "было"]
+    clean = [" ".join(rng.choices(words, k=12)) for _ in range(60)]
+    got = restored(spark, clean + [damaged(t, page) for t in clean])
+    right = sum(got[60 + i].restored_text == t for i, t in enumerate(clean) if 60 + i in got)
+    assert right >= 0.95 * sum(not t.isascii() for t in clean) and not set(got) & set(range(60))
+
+
+@given(st.text(alphabet="Ãâ€©™°Â�é", min_size=1, max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_search_against_all_paths(run: str) -> None:
+    def every(i: int, state: str) -> list[tuple[float, str]]:
+        if i == len(run):
+            return [(0.0, "")]
+        if run[i] == garbled.LOST:
+            j = next((j for j in range(i, len(run)) if run[j] != garbled.LOST), len(run))
+            steps = [(j, run[i:j], "", garbled.LOSS)]
+        else:
+            steps = [(i + 1, run[i], "", garbled.KEEP)]
+            for no, p in enumerate(garbled.UTF8_MISREAD):
+                steps += [(i + k, ch, p, garbled.read_cost(no, k, ch, lost)) for k, ch, lost in garbled._reads(run, i, p)]
+        return [(c + d + (garbled.SWITCH if p and state not in ("", p) else 0.0), ch + t) for j, ch, p, c in steps for d, t in every(j, p or state)]
+
+    best: dict[str, float] = {}
+    for c, t in every(0, ""):
+        best[t] = min(c, best.get(t, 1e9))
+    want = sorted(best.values())[: garbled.BEST]
+    got = garbled.viterbi(run, garbled.BEST)
+    assert [round(c, 6) for c, *_ in got] == [round(c, 6) for c in want] and all(abs(best[t] - c) < 1e-6 for c, t, *_ in got)
