@@ -22,8 +22,8 @@ VISIT_FIELDS = ["session_end_date", "season_year_adj", "crop_type", "crop_stage"
 
 def _nights(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
     cols = ("record_id", "site_data_id", "trap_type", "date", "source_rank", "entered_at", *NIGHT_FIELDS)
-    nights = table(spark, d, TRAPS, *cols).where(F.col("date").between(F.lit(FIRST_DATE), F.lit(LAST_DATE)))
-    return survivors.best_of_groups(nights, ["site_data_id", "trap_type", "date"], "record_id", NIGHT_FIELDS, "entered_at", "source_rank", merge=merge)
+    undated = ~F.coalesce(F.col("date").between(F.lit(FIRST_DATE), F.lit(LAST_DATE)), F.lit(False))
+    return survivors.best_of_groups(table(spark, d, TRAPS, *cols), ["site_data_id", "trap_type", "date"], "record_id", NIGHT_FIELDS, "entered_at", "source_rank", alone=undated, merge=merge)
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
@@ -48,18 +48,18 @@ def _visits(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
     known = cut(linkage.link(spark, spellings, _registry(spark, d), "place_id", "site_data_id").select("place_id", "site_data_id"))
     known = _spread(spellings.select("place_id", "name_id"), known)
     visits = visits.join(known, "place_id", "left").withColumn("paddock", F.coalesce("site_data_id", -F.abs("name_id"))).drop(*spelt, *at, "name_id", "place_id", "site_data_id")
-    visits = survivors.chained(visits, ["paddock"], "session_start_date", 3, "chain")
-    return survivors.best_of_groups(visits.where("chain is not null"), ["paddock", "chain"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank", complete="complete", merge=merge)
+    return survivors.best_of_groups(visits, ["paddock"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank", day="session_start_date", max_days=3, complete="complete", merge=merge)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda df, name: df.where("n_records > 1").select(F.lit(name).alias("table_name"), "first_id", "survivor_id")
-    return pick(_nights(spark, d, False), TRAPS).unionByName(pick(_visits(spark, d, False), VISITS))
+    dated = _nights(spark, d, False)
+    return pick(dated, TRAPS).unionByName(pick(_visits(spark, d, False), VISITS))
 
 
 def p2_night_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Size, smallest id and best record of each trap night."""
-    return _nights(spark, d, False).drop("n_skyline")
+    """Size, smallest id, best record and size of the skyline of each trap night."""
+    return _nights(spark, d, False)
 
 
 def p2_nights(spark: SparkSession, d: str) -> DataFrame:
@@ -185,8 +185,20 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_night_survivors, p2_nights, p2_visits, p6_found, p6_values, p7_found, p7_matches, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_tokens, p10_restored)}
 
-_FULL = " + ".join(f"({c} IS NOT NULL)::INT" for c in NIGHT_FIELDS)
+_OK = "date BETWEEN DATE '2008-12-01' AND DATE '2025-11-30'"
+_N = " + ".join(f"({c} IS NOT NULL)::INT" for c in NIGHT_FIELDS)
+_P = " || ".join(f"({c} IS NOT NULL)::INT::VARCHAR" for c in NIGHT_FIELDS)
+_WORSE = "(a.n >= b.n AND a.source_rank <= b.source_rank AND a.entered_at >= b.entered_at AND (a.n > b.n OR a.source_rank < b.source_rank OR a.entered_at > b.entered_at))"
+# nights: g groups them; r are the records that count, the latest of each trust and pattern of fields; w who is dominated by whom; l the layers
+_LAYERS = f"""t AS (SELECT *, {_N} AS n, {_P} AS p, CASE WHEN coalesce({_OK}, false) THEN -1 ELSE record_id END AS own FROM data_monitoring_traps_clean),
+  g AS (SELECT *, min(record_id) OVER w AS first_id, count(*) OVER w AS n_records FROM t WINDOW w AS (PARTITION BY site_data_id, trap_type, date, own)),
+  r AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY first_id, p, source_rank ORDER BY entered_at DESC, record_id) = 1),
+  w AS (SELECT b.first_id, a.record_id AS better, b.record_id FROM r a JOIN r b ON a.first_id = b.first_id AND {_WORSE}),
+  x(record_id, l) AS (SELECT record_id, 1 FROM r UNION SELECT w.record_id, x.l + 1 FROM x JOIN w ON w.better = x.record_id),
+  l AS (SELECT r.*, m.l FROM r JOIN (SELECT record_id, max(l) AS l FROM x GROUP BY 1) m USING (record_id))"""
+_BEST = "ORDER BY l, n DESC, entered_at DESC, source_rank, record_id"
+_HEAD = f"site_data_id, trap_type, date, n_records, first_id, first(record_id {_BEST}) AS survivor_id, CAST(count(*) FILTER (l = 1) AS INTEGER) AS n_skyline"
 SQL = {
-    "p2_night_survivors": f"""SELECT site_data_id, trap_type, date, count(*) AS n_records, min(record_id) AS first_id, first(record_id ORDER BY {_FULL} DESC, entered_at DESC, source_rank, record_id) AS survivor_id
-      FROM data_monitoring_traps_clean WHERE date BETWEEN DATE '2008-12-01' AND DATE '2025-11-30' GROUP BY ALL""",
+    "p2_night_survivors": f"""WITH RECURSIVE {_LAYERS.replace("p, source_rank ORDER", "n, source_rank ORDER")} SELECT {_HEAD} FROM l GROUP BY site_data_id, trap_type, date, n_records, first_id""",
+    "p2_nights": f"""WITH RECURSIVE {_LAYERS} SELECT {_HEAD}, {", ".join(f"first({c} {_BEST}) FILTER ({c} IS NOT NULL) AS {c}" for c in NIGHT_FIELDS)} FROM l GROUP BY site_data_id, trap_type, date, n_records, first_id""",
 }
