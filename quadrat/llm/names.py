@@ -89,7 +89,7 @@ def canonical_parts(spark: SparkSession, records: DataFrame, registry: DataFrame
     block = lambda p: F.concat(F.lit(f"{p}:"), F.coalesce("number", F.lit(""))) if p == "place" else F.lit(p)
     stack = lambda df: df.select(F.inline(F.array(*[F.struct(block(p).alias("field"), F.col(f"r_{p}").alias("value")) for p in PARTS]))).where("value is not null").distinct()
     reference = stack(registry).select("field", F.xxhash64("field", "value").alias("ref_id"), F.col("value").alias("canonical"))
-    mapped = canonical.map_values(spark, stack(records), reference, {}, canonical.NAME_EDITS).where("ref_id <> 0").select("field", "value", "ref_id")
+    mapped = canonical.map_values(spark, stack(records), reference, edits=canonical.NAME_EDITS).where("ref_id <> 0").select("field", "value", "ref_id")
     mapped = cut(mapped.join(reference.select("ref_id", "canonical"), "ref_id").drop("ref_id"))
     for p in PARTS:
         side = mapped.where(F.col("field").startswith(p)).select(F.col("field").alias("_b"), F.col("value").alias(f"r_{p}"), F.col("canonical").alias(p))

@@ -76,15 +76,19 @@ def p2_visits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(record_id, field, value) of values that are neither missing nor canonical; the reference; the mapping."""
+    """(record_id, field, value) of values that are neither missing nor canonical; the reference; the mapping.
+
+    The nights of one visit to a paddock (site_data_id, session) are the context: they have one crop at one stage.
+    """
     ref = table(spark, d, "metadata").select(F.col("field_name").alias("field"), "ref_id", F.col("canonical_value").alias("canonical"), "crop_category")
-    t = table(spark, d, TRAPS, "record_id", "crop_type", "crop_stage")
+    t = table(spark, d, TRAPS, "record_id", "site_data_id", "session", "crop_type", "crop_stage")
     crop = F.when(~text_missing(F.col("crop_type")), F.struct(F.lit("crop_type").alias("field"), F.col("crop_type").alias("value")))
     stage = F.when(F.col("crop_stage").isNotNull(), F.struct(F.lit("crop_stage").alias("field"), F.col("crop_stage").alias("value")))
-    rows = t.select("record_id", F.inline(F.array_compact(F.array(crop, stage))))
+    visit = F.when(F.col("site_data_id").isNotNull() & F.col("session").isNotNull(), F.struct("site_data_id", "session"))
+    rows = t.select("record_id", visit.alias("context"), F.inline(F.array_compact(F.array(crop, stage))))
+    mapped = canonical.map_entries(spark, rows.drop("record_id"), ref.select("field", "ref_id", "canonical"))
     same = F.broadcast(ref.select("field", F.col("canonical").alias("value")))  # metadata is a fixed table of 36 rows
-    rows = rows.join(same, ["field", "value"], "left_anti")
-    return rows, ref, canonical.map_values(spark, rows.select("field", "value").distinct(), ref.select("field", "ref_id", "canonical"))
+    return rows.drop("context").join(same, ["field", "value"], "left_anti"), ref, mapped
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,10 +97,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
-    """Each free spelling with its entry, category, distance and number of rows; unmatched ones with ref_id 0."""
+    """Each free spelling with its entry, category, distance, rule and number of rows; unmatched ones with ref_id 0."""
     rows, ref, mapped = _entries(spark, d)
     n = rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
-    return mapped.join(n, ["field", "value"]).join(F.broadcast(ref.drop("field")), "ref_id", "left").select(F.col("field").alias("field_name"), "value", "ref_id", "canonical", "crop_category", "distance", "n_rows")
+    return mapped.join(n, ["field", "value"]).join(F.broadcast(ref.drop("field")), "ref_id", "left").select(F.col("field").alias("field_name"), "value", "ref_id", "canonical", "crop_category", "distance", "rule", "n_rows")
 
 
 # 7: matching entities without keys -----------------------------------------------------------------------------
