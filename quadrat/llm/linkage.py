@@ -1,10 +1,10 @@
 """Matching entities without keys: a deterministic cascade of exact joins on ever weaker combinations.
 
-Attributes are first brought to canonical spellings. Each pass joins the records that are still open
-to the registry on the attributes of its rules; a record is resolved by the first rule that meets exactly one
-entry, and leaves the cascade by an anti join. The rules of a pass share one join, their number being a part of
-the key. A pair's confidence is the rule's precision, smoothed, as labelled by an attribute that the rule
-does not use: the distance between the coordinates, or the holder's surname.
+Attributes are first brought to canonical spellings, which are stored. Each rule is a pass of its own: it joins the
+records that are still open to the registry on the rule's attributes, a record is resolved if it meets exactly one
+entry, and what is resolved leaves the cascade by an anti join before the next rule. A pair's confidence is the
+rule's labelled precision, smoothed. Labels are what evidence that the rule does not use says of all records, not only
+of those that come to the rule: their coordinates, or their names for the rule on coordinates.
 """
 
 from __future__ import annotations
@@ -16,107 +16,118 @@ from quadrat.llm import names
 from quadrat.operators.nearby import haversine_m, in_box
 from quadrat.sources.tables import cut
 
-# The passes, each with its rules in order: attributes that must be equal, and attributes that may not be known and different.
-PASSES = (
-    (
-        (("region", "farm", "place", "number"), ()),
-        (("region", "person", "place", "number"), ()),
-        (("region", "place", "number"), ()),
-    ),
-    (
-        (("farm", "place", "number"), ("region",)),
-        (("person", "place", "number"), ("region",)),
-        (("place", "number"), ("region", "farm", "person")),
-        (("region", "farm", "person", "number"), ("place",)),
-        (("region", "cell", "number"), ("place",)),
-    ),
+# The rules in order: attributes that must be equal, and attributes that may not be known and different.
+RULES = (
+    (("region", "farm", "place", "number"), ()),
+    (("region", "person", "place", "number"), ()),
+    (("region", "place", "number"), ()),
+    (("farm", "place", "number"), ("region",)),
+    (("person", "place", "number"), ("region",)),
+    (("place", "number"), ("region", "farm", "person")),
+    (("region", "farm", "person", "number"), ("place",)),
+    (("region", "cell", "number"), ("place",)),
 )
+GUARDS = ("region", "farm", "person", "place")
 CELL_DEGREES = 0.02
-AGREE_M = 5_000.0
+LABEL_M = 2_000.0
 BOX = (110.0, 155.0, -45.0, -10.0)
 
 
-def _cells(spread: bool) -> Column:
+def _cell(spread: bool) -> Column:
+    """Cell of a record's coordinates, or all nine around it."""
     x, y = F.floor(F.col("longitude") / CELL_DEGREES), F.floor(F.col("latitude") / CELL_DEGREES)
-    steps = (-1, 0, 1) if spread else (0,)
-    return F.array(*[F.concat_ws(":", (x + i).cast("string"), (y + j).cast("string")) for i in steps for j in steps])
-
-
-def _keys(rules: tuple, first_no: int, spread: bool) -> Column:
-    """Array of (rule_no, key) of the rules whose attributes are all known; a cell has all its neighbours if ``spread``."""
-    out = []
-    for no, (names_, _) in enumerate(rules, first_no):
-        known = None
-        for c in names_:
-            ok = (F.col("longitude").isNotNull() & F.col("latitude").isNotNull()) if c == "cell" else F.col(c).isNotNull()
-            known = ok if known is None else known & ok
-        rest = F.concat_ws("|", *[F.col(c) for c in names_ if c != "cell"])
-        one = lambda cell, no=no, rest=rest: F.struct(F.lit(no).alias("rule_no"), F.concat_ws("|", rest, cell).alias("key"))
-        rows = F.array(*[one(F.get(_cells(spread), F.lit(i))) for i in range(9 if spread else 1)]) if "cell" in names_ else F.array(one(F.lit("")))
-        out.append(F.when(known, rows).otherwise(F.array().cast("array<struct<rule_no:int,key:string>>")))
-    return F.concat(*out)
-
-
-def _pass(records: DataFrame, registry: DataFrame, rules: tuple, first_no: int) -> DataFrame:
-    """(rec, reg, rule_no) of the records that a rule of the pass resolves."""
-    guards = ("region", "farm", "person", "place")
-    using = lambda where: [no for no, r in enumerate(rules, first_no) if where(r)]
-    a = records.select(F.col("id").alias("rec"), *guards, "kind", F.inline(_keys(rules, first_no, True)))
-    b = registry.select(F.col("id").alias("reg"), *guards, "kind", F.inline(_keys(rules, first_no, False)))
-    farms = F.col("rule_no").isin(using(lambda r: "farm" in r[0]))
-    guard = lambda g: F.when(F.col("rule_no").isin(using(lambda r: g in r[1])), F.col(g)) if using(lambda r: g in r[1]) else F.lit(None).cast("string")
+    one = lambda i, j: F.concat_ws(":", (x + i).cast("string"), (y + j).cast("string"))
+    return F.explode(F.array(*[one(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])) if spread else one(0, 0)
+
+
+def _known(df: DataFrame, attributes: tuple[str, ...], spread: bool) -> DataFrame:
+    for c in attributes:
+        df = df.where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull() if c == "cell" else F.col(c).isNotNull())
+    return df.withColumn("cell", _cell(spread)) if "cell" in attributes else df
+
+
+def _resolve(records: DataFrame, registry: DataFrame, attributes: tuple[str, ...], guards: tuple[str, ...]) -> DataFrame:
+    """(rec, reg) of the records that meet exactly one entry on the attributes; of several that of the stated farm kind, if that is one."""
+    a = _known(records, attributes, True).select(F.col("id").alias("rec"), *attributes, *[F.col(g).alias(f"a_{g}") for g in guards], F.col("kind").alias("a_kind"))
+    b = _known(registry, attributes, False).withColumnRenamed("id", "reg")
+    kind = F.col("kind") if "farm" in attributes else F.lit(None).cast("string")
     # one row for each combination of the registry's values, however many entries share it
-    b = b.groupBy("rule_no", "key", *[guard(g).alias(f"g_{g}") for g in guards], F.when(farms, F.col("kind")).alias("g_kind")).agg(F.count(F.lit(1)).alias("n"), F.min("reg").alias("reg"))
-    met = a.join(b, ["rule_no", "key"])
+    b = b.groupBy(*attributes, *[F.col(g).alias(f"g_{g}") for g in guards], kind.alias("g_kind")).agg(F.count(F.lit(1)).alias("n"), F.min("reg").alias("reg"))
+    met = a.join(b, [*attributes])
     for g in guards:
-        met = met.where(F.col(g).isNull() | F.col(f"g_{g}").isNull() | (F.col(g) == F.col(f"g_{g}")))
-    fits = ~farms | (F.col("kind") == F.col("g_kind"))  # of several entries, those whose farm kind is the stated one count
-    one = met.groupBy("rec", "rule_no").agg(F.sum("n").alias("n"), F.min("reg").alias("reg"), F.sum(F.when(fits, F.col("n"))).alias("fit_n"), F.min(F.when(fits, F.col("reg"))).alias("fit_reg"))
-    one = one.select("rec", "rule_no", F.when(F.col("n") == 1, F.col("reg")).when(F.col("fit_n") == 1, F.col("fit_reg")).alias("reg")).where("reg is not null")
-    return one.groupBy("rec").agg(F.min_by("reg", "rule_no").alias("reg"), F.min("rule_no").alias("rule_no"))
+        met = met.where(F.col(f"a_{g}").isNull() | F.col(f"g_{g}").isNull() | (F.col(f"a_{g}") == F.col(f"g_{g}")))
+    fits = F.col("a_kind") == F.col("g_kind")
+    one = met.groupBy("rec").agg(F.sum("n").alias("n"), F.min("reg").alias("reg"), F.sum(F.when(fits, F.col("n"))).alias("fit_n"), F.min(F.when(fits, F.col("reg"))).alias("fit_reg"))
+    return one.select("rec", F.when(F.col("n") == 1, F.col("reg")).when(F.col("fit_n") == 1, F.col("fit_reg")).alias("reg")).where("reg is not null")
+
+
+def prepare(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (id, region, farm, person, place, kind, number, longitude, latitude) with canonical spellings, stored."""
+    cols = GUARDS
+    pick = lambda df, i: df.select(F.col(i).alias("id"), *[F.col(c).alias(f"t_{c}") for c in cols], "longitude", "latitude").distinct()
+    texts = tuple(f"t_{c}" for c in cols)
+    base = pick(registry, reg_id)
+    reg = cut(names.with_parts(base, base, texts, texts).drop(*texts))
+    rec = names.with_parts(pick(records, rec_id), base, texts, texts).drop(*texts)
+    rec = names.canonical_parts(spark, cut(rec), reg)
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    rest = ("kind", "number", number("longitude"), number("latitude"))
+    return cut(rec.select("id", *cols, *rest)), reg.select("id", *[F.col(f"r_{p}").alias(p) for p in cols], *rest)
 
 
-def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, passes: tuple = PASSES) -> DataFrame:
-    """(rec_id, reg_id, rule_no): each record's one entry of the registry, if a rule finds exactly one.
+def link(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, rules: tuple = RULES) -> DataFrame:
+    """(rec_id, reg_id, rule_no): each record's one entry of the registry, by the first rule that finds exactly one.
 
     Both sides have columns region, farm, person, place, longitude and latitude (any may be null) and
     their id. A rule needs all its attributes to be known. Records that no rule resolves, or that
     meet several entries in each, are not in the result. Extra columns are ignored; repeated rows of an id
     must agree in their attributes.
     """
-    cols = ("region", "farm", "person", "place")
-    prep = lambda df, i: names.with_parts(df.select(F.col(i).alias("id"), *[F.col(c).alias(f"t_{c}") for c in cols], "longitude", "latitude").distinct(), *[f"t_{c}" for c in cols]).drop(*[f"t_{c}" for c in cols])
-    reg = prep(registry, reg_id)
-    rec = cut(names.canonical_parts(spark, prep(records, rec_id), reg).drop(*[f"r_{p}" for p in names.PARTS]))
-    reg = reg.select("id", *[F.col(f"r_{p}").alias(p) for p in names.PARTS], "kind", "number", "longitude", "latitude")
-    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    rec, reg = (df.select("id", *cols, F.substring("kind", 1, 3).alias("kind"), "number", number("longitude"), number("latitude")) for df in (rec, reg))
-    found, no = [], 1
-    for rules in passes:
-        for done in found:
-            rec = rec.join(done.select(F.col("rec").alias("id")), "id", "left_anti")
-        one = _pass(rec, reg, rules, no)
-        found.append(cut(one) if rules is not passes[-1] else one)  # the next pass builds on it
-        no += len(rules)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    return cascade(*prepare(spark, records, registry, rec_id, reg_id), rec_id, reg_id, rules)
+
+
+def cascade(rec: DataFrame, reg: DataFrame, rec_id: str, reg_id: str, rules: tuple = RULES) -> DataFrame:
+    """link() for sides that are prepared."""
+    out = None
+    for no, (attributes, guards) in enumerate(rules, 1):
+        still = rec if out is None else rec.join(out.select(F.col("rec").alias("id")), "id", "left_anti")
+        found = cut(_resolve(still, reg, attributes, guards).withColumn("rule_no", F.lit(no)))  # the next pass builds on it
+        out = found if out is None else out.unionByName(found)
     return out.select(F.col("rec").alias(rec_id), F.col("reg").alias(reg_id), "rule_no")
 
 
-def confidence(links: DataFrame, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, prior: tuple[float, float] = (4.0, 1.0)) -> DataFrame:
-    """``links`` with ``confidence``: each rule's share of pairs whose evidence agrees, smoothed by ``prior`` (hits, misses).
+def labels(rec: DataFrame, reg: DataFrame, by_place: bool) -> DataFrame:
+    """(rec, reg): labelled pairs, each record's one entry by coordinates and number, at most LABEL_M away, or else by all of its names and its number."""
+    if not by_place:
+        return _resolve(rec, reg, ("region", "farm", "person", "place", "number"), ())
+    one = _resolve(rec, reg, ("cell", "number"), ())
+    at = lambda df, i, n: df.select(F.col("id").alias(i), F.col("longitude").alias(f"x{n}"), F.col("latitude").alias(f"y{n}"))
+    both = one.join(at(rec, "rec", 1), "rec").join(at(reg, "reg", 2), "reg")
+    placed = in_box(F.col("x1"), F.col("y1"), BOX) & in_box(F.col("x2"), F.col("y2"), BOX)
+    return both.where(placed & (haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= LABEL_M)).select("rec", "reg")
+
+
+def precision(rec: DataFrame, reg: DataFrame, rules: tuple = RULES, prior: tuple[float, float] = (4.0, 1.0)) -> DataFrame:
+    """(rule_no, n_labelled, n_right, n_wrong, confidence): each rule put to all labelled records, as if no rule had come before.
 
-    Evidence is the distance of possible coordinates (at most AGREE_M agrees); for rules on cells, whether the
-    surnames are equal. Pairs without evidence label nothing but get the rule's confidence.
+    Rules on names are labelled by coordinates, those on cells by names, so that no rule labels itself. ``n_labelled`` are
+    the labelled records, ``n_right`` and ``n_wrong`` those for which the rule gives the labelled entry or another
+    one, and confidence is the share of right ones, smoothed by ``prior`` (hits, misses). Without labels it is the prior's.
     """
-    a = records.select(F.col(rec_id), F.col("longitude").alias("x1"), F.col("latitude").alias("y1"), names.surname(F.col("person")).alias("p1"))
-    b = registry.select(F.col(reg_id), F.col("longitude").alias("x2"), F.col("latitude").alias("y2"), names.surname(F.col("person")).alias("p2"))
-    both = links.join(a, rec_id).join(b, reg_id)
-    far = haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    on_cells = F.col("rule_no").isin([i for i, (k, _) in enumerate((r for p in PASSES for r in p), 1) if "cell" in k])
-    placed = in_box(F.col("x1"), F.col("y1"), BOX) & in_box(F.col("x2"), F.col("y2"), BOX)
-    hit = F.when(on_cells, F.col("p1") == F.col("p2")).otherwise(F.when(placed, far <= AGREE_M))
-    rates = both.groupBy("rule_no").agg(F.count_if(hit).alias("h"), F.count_if(~hit).alias("m"))
-    rates = rates.select("rule_no", ((F.col("h") + prior[0]) / (F.col("h") + F.col("m") + sum(prior))).alias("confidence"), F.col("h").alias("n_agree"), F.col("m").alias("n_differ"))
-    return links.join(rates, "rule_no")
+    out = None
+    known = {w: cut(labels(rec, reg, w)) for w in (True, False)}
+    those = {w: rec.join(k.select(F.col("rec").alias("id")), "id", "left_semi") for w, k in known.items()}
+    for no, (attributes, guards) in enumerate(rules, 1):
+        w = "cell" not in attributes
+        said = known[w].join(_resolve(those[w], reg, attributes, guards).withColumnRenamed("reg", "said"), "rec", "left")
+        right = F.col("said") == F.col("reg")
+        one = cut(said.agg(F.lit(no).alias("rule_no"), F.count(F.lit(1)).alias("n_labelled"), F.count_if(right).alias("n_right"), F.count_if(~right).alias("n_wrong")))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("confidence", (F.col("n_right") + prior[0]) / (F.col("n_right") + F.col("n_wrong") + sum(prior)))
+
+
+def linked_with_confidence(spark: SparkSession, records: DataFrame, registry: DataFrame, rec_id: str, reg_id: str, rules: tuple = RULES) -> DataFrame:
+    """link() with each rule's ``confidence``, ``n_right`` and ``n_wrong``, see precision()."""
+    rec, reg = prepare(spark, records, registry, rec_id, reg_id)
+    rates = F.broadcast(precision(rec, reg, rules).drop("n_labelled"))  # one row for each rule
+    return cascade(rec, reg, rec_id, reg_id, rules).join(rates, "rule_no")

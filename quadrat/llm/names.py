@@ -1,4 +1,8 @@
-"""Parts of place and person names, and their canonical spellings."""
+"""Parts of place and person names, and their canonical spellings.
+
+Kinds (creek, station, northern) and what they are shortened to are no list: kinds are the words that many names
+of the registry end or begin with, and a word that is none is taken for the kind that it abbreviates.
+"""
 
 from __future__ import annotations
 
@@ -8,49 +12,43 @@ from pyspark.sql import functions as F
 from quadrat.llm import canonical
 from quadrat.sources.tables import cut
 
-# Short forms in names of regions, farms and paddocks.
-DIRECTIONS = {
-    "n": "northern", "nth": "northern", "north": "northern", "s": "southern", "sth": "southern", "south": "southern", "e": "eastern", "est": "eastern",
-    "east": "eastern", "w": "western", "wst": "western", "west": "western", "lwr": "lower", "low": "lower", "upr": "upper", "upp": "upper", "ctl": "central", "cent": "central",
-}
-FARM_KINDS = {
-    "sta": "station", "stn": "station", "est": "estate", "par": "park", "pk": "park", "dow": "downs", "dns": "downs", "val": "vale", "vle": "vale",
-    "pla": "plains", "plns": "plains", "pln": "plains", "far": "farm", "fm": "farm",
-}
-PLACE_KINDS = {
-    "gt": "gate", "gte": "gate", "dm": "dam", "rdg": "ridge", "rge": "ridge", "hse": "house", "hs": "house", "swp": "swamp", "swmp": "swamp", "slo": "silo", "sl": "silo",
-    "br": "bore", "bre": "bore", "rd": "road", "hl": "hill", "hll": "hill", "ck": "creek", "crk": "creek", "cr": "creek", "flt": "flat", "fl": "flat", "gly": "gully", "gul": "gully",
-}
-NUMBER_WORDS = ("no", "num", "number", "nr", "pdk", "paddock", "pad")
-
-
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), key)
+KIND_SHARE = 1 / 200  # a kind is in that share of the registry's names at least, so there are 200 at most
+# Words beside a surname that are no name.
+NO_SURNAME = ("", "family", "and", "sons")
 
 
 def _letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
 
 
-def region_form(text: Column) -> Column:
-    """'Gaidu (Northern)', 'nth gaidu' -> 'northern gaidu'; null if there are no letters."""
-    turned = F.regexp_replace(F.lower(F.trim(text)), r"^(.*?)\s*\((\p{L}+)\)\s*$", "$2 $1")
-    words = F.split(_letters(turned), " ")
-    form = F.array_join(F.concat(F.array(_lookup(DIRECTIONS, F.get(words, 0))), F.slice(words, 2, 99)), " ")
-    return F.nullif(form, F.lit(""))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(_letters(text), " "), lambda w: w != "")
+
+
+def _region_words(text: Column) -> Column:
+    """Words of a region, a part in brackets at its end first: 'Gaidu (Northern)' -> northern, gaidu."""
+    return _words(F.regexp_replace(F.lower(F.trim(text)), r"^(.*?)\s*\((\p{L}+)\)\s*$", "$2 $1"))
 
 
-def farm_parts(text: Column) -> tuple[Column, Column]:
-    """('poobelo', 'station') of 'Poobelo Station', '"poobelo sta"' or 'poobelo' (kind null)."""
-    words = F.split(_letters(text), " ")
-    kind = F.when(F.size(words) > 1, _lookup(FARM_KINDS, F.element_at(words, -1)))
-    name = F.when(F.size(words) > 1, F.array_join(F.slice(words, 1, F.size(words) - 1), "")).otherwise(F.get(words, 0))
-    return F.nullif(name, F.lit("")), kind
+def kinds_of(registry: DataFrame, word: Column) -> Column:
+    """The words that KIND_SHARE of the registry's names have at a place, as one array value; 1 / KIND_SHARE at most."""
+    w = registry.select(word.alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    least = w.agg(F.sum("n") * KIND_SHARE).scalar()
+    return w.where(F.col("n") >= least).agg(F.array_sort(F.collect_list("w"))).scalar()
+
+
+def _abbreviated(word: Column, kinds: Column) -> Column:
+    """The kind that a word is or abbreviates, null if none: its first letter and its other letters in order; of several one that ends alike, then the shorter."""
+    pattern = F.concat(F.lit("^"), F.regexp_replace(word, r"(.)", "$1.*"))
+    fits = F.filter(kinds, lambda k: (F.length(word) < F.length(k)) & (F.substring(k, 1, 1) == F.substring(word, 1, 1)) & F.regexp_like(k, pattern))
+    ranked = F.array_sort(F.transform(fits, lambda k: F.struct((F.right(k, F.lit(1)) != F.right(word, F.lit(1))).alias("a"), (~F.startswith(k, word)).alias("b"), F.length(k).alias("n"), k.alias("k"))))
+    longest = F.array_max(F.transform(kinds, lambda k: F.length(k)))
+    return F.when(F.array_contains(kinds, word), word).when(F.length(word) < longest, F.get(ranked, F.lit(0))["k"])
 
 
 def surname(text: Column) -> Column:
     """'jooluo' of 'w jooluo', 'W. Jooluo', 'jooluo, w' or 'jooluo family': the longest word but 'family'."""
-    words = F.filter(F.split(_letters(text), " "), lambda w: ~w.isin("family", "and", "sons", ""))
+    words = F.filter(F.split(_letters(text), " "), lambda w: ~w.isin(*NO_SURNAME))
     return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
@@ -59,20 +57,30 @@ def place_number(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(\d+)(?!.*\d)", 1), "^0+(?=.)", ""), F.lit(""))
 
 
-def place_form(text: Column) -> Column:
-    """Letters of a paddock's name: number words dropped, kinds spelt out, spaces dropped ('zebren creek' -> 'zebrencreek')."""
-    words = F.filter(F.split(_letters(text), " "), lambda w: ~w.isin("", *NUMBER_WORDS))
-    n = F.size(words)
-    full = F.when(n > 1, F.concat(F.slice(words, 1, n - 1), F.array(_lookup(PLACE_KINDS, F.element_at(words, -1))))).otherwise(words)
-    return F.nullif(F.array_join(full, ""), F.lit(""))
+def with_parts(df: DataFrame, registry: DataFrame, columns: tuple[str, str, str, str], registry_columns: tuple[str, str, str, str]) -> DataFrame:
+    """``df`` with the parts that are compared: r_region, r_farm, kind, r_person, r_place, number.
 
-
-def with_parts(df: DataFrame, region: str, farm: str, person: str, place: str) -> DataFrame:
-    """``df`` with the parts that are compared: r_region, r_farm, kind, r_person, r_place, number."""
-    name, kind = farm_parts(F.col(farm))
-    return df.select(
-        "*", region_form(F.col(region)).alias("r_region"), name.alias("r_farm"), kind.alias("kind"), surname(F.col(person)).alias("r_person"), place_form(F.col(place)).alias("r_place"), place_number(F.col(place)).alias("number")
-    )
+    Columns are those of region, farm, person and place. The first word of a region and the last one of a farm and of a place
+    are spelt out if they abbreviate a kind of the registry's; what a place has between its kind and its number
+    (no, pdk) is dropped, as are spaces ('zebren ck no 168' -> 'zebrencreek', 168).
+    """
+    region, farm, person, place = (F.col(c) for c in columns)
+    of_region, of_farm, _, of_place = (F.col(c) for c in registry_columns)
+    last = lambda words: F.when(F.size(words) > 1, F.element_at(words, -1))
+    kinds = {"_kr": kinds_of(registry, F.when(F.size(_region_words(of_region)) > 1, F.get(_region_words(of_region), F.lit(0)))), "_kf": kinds_of(registry, last(_words(of_farm))), "_kp": kinds_of(registry, last(_words(of_place)))}
+    out = df.withColumns({"_wr": _region_words(region), "_wf": _words(farm), "_wp": _words(place), **{k: F.coalesce(v, F.array().cast("array<string>")) for k, v in kinds.items()}})
+    rest = lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
+    first = F.get("_wr", F.lit(0))
+    region_form = F.array_join(F.concat(F.array(F.coalesce(_abbreviated(first, F.col("_kr")), first)), rest(F.col("_wr"))), " ")
+    n = F.size("_wf")
+    kind = F.when(n > 1, F.coalesce(_abbreviated(F.element_at("_wf", -1), F.col("_kf")), F.element_at("_wf", -1)))
+    name = F.when(n > 1, F.array_join(F.slice("_wf", F.lit(1), n - 1), "")).otherwise(F.get("_wf", F.lit(0)))
+    out = out.withColumn("_wp", F.transform("_wp", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, _abbreviated(w, F.col("_kp"))).alias("k"))))
+    upto = F.array_max(F.transform("_wp", lambda w, i: F.when(w["k"].isNotNull(), i + 1).otherwise(0)))
+    kept = F.when(upto > 0, F.slice("_wp", F.lit(1), upto)).otherwise(F.col("_wp"))
+    place_form = F.array_join(F.transform(kept, lambda w: F.coalesce(w["k"], w["w"])), "")
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return out.select(*[F.col(c) for c in df.columns], F.when(F.size("_wr") > 0, blank(region_form)).alias("r_region"), blank(name).alias("r_farm"), kind.alias("kind"), surname(person).alias("r_person"), blank(place_form).alias("r_place"), place_number(place).alias("number"))
 
 
 PARTS = ("region", "farm", "person", "place")

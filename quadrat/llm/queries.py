@@ -109,9 +109,8 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     """Agency paddocks and the paddock of site_data each is, with the rule that found it and its confidence."""
     agency = table(spark, d, "agency_sites", "agency_site_id", F.col("area_name").alias("region"), F.col("property_name").alias("farm"), F.col("landholder").alias("person"), F.col("paddock").alias("place"), "longitude", "latitude")
-    registry = _registry(spark, d)
-    links = linkage.link(spark, agency, registry, "agency_site_id", "site_data_id")
-    return linkage.confidence(links, agency, registry, "agency_site_id", "site_data_id").select("site_data_id", "agency_site_id", "rule_no", "confidence", "n_agree", "n_differ")
+    links = linkage.linked_with_confidence(spark, agency, _registry(spark, d), "agency_site_id", "site_data_id")
+    return links.select("site_data_id", "agency_site_id", "rule_no", "confidence", "n_right", "n_wrong")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
