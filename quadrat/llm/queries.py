@@ -157,10 +157,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with windows of items' templates in which numbers, names or units differ."""
+    """Items whose templates documents have with other numbers, names or units."""
     from quadrat.llm import leakage  # loaded where it is needed: the driver stays small
 
-    return leakage.reparameterised(*_leak_args(spark, d))
+    return leakage.reparameterised(*_leak_args(spark, d), "question", "answer")
 
 
 # 10: wrong encodings --------------------------------------------------------------------------------------------
@@ -202,6 +202,7 @@ _LAYERS = f"""t AS (SELECT *, {_N} AS n, {_P} AS p, CASE WHEN coalesce({_OK}, fa
 _BEST = "ORDER BY l, n DESC, entered_at DESC, source_rank, record_id"
 _HEAD = f"site_data_id, trap_type, date, n_records, first_id, first(record_id {_BEST}) AS survivor_id, CAST(count(*) FILTER (l = 1) AS INTEGER) AS n_skyline"
 SQL = {
+    "p8_roundtrip": "SELECT doc_id, text, text AS decoded FROM documents WHERE false",
     "p2_night_survivors": f"""WITH RECURSIVE {_LAYERS.replace("p, source_rank ORDER", "n, source_rank ORDER")} SELECT {_HEAD} FROM l GROUP BY site_data_id, trap_type, date, n_records, first_id""",
     "p2_nights": f"""WITH RECURSIVE {_LAYERS} SELECT {_HEAD}, {", ".join(f"first({c} {_BEST}) FILTER ({c} IS NOT NULL) AS {c}" for c in NIGHT_FIELDS)} FROM l GROUP BY site_data_id, trap_type, date, n_records, first_id""",
 }

@@ -93,8 +93,32 @@ def test_leaks_against_brute_force(spark) -> None:
     assert 3 in {r.doc_id for r in again}
     assert leakage.leaked(docs.where("false"), "doc_id", "text", its, "item_id", "passage").count() == 0
     assert leakage.leaked(docs, "doc_id", "text", its.where("false"), "item_id", "passage").count() == 0
-    with pytest.raises(ValueError, match="more than"):
-        leakage.leaked(docs, "doc_id", "text", its, "item_id", "passage", max_items=3)
+
+
+def test_many_items_are_no_limit(spark) -> None:
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=14))) for i in range(20_000)]
+    its = spark.createDataFrame(items, "item_id long, passage string")
+    docs = spark.createDataFrame([(k, "see: " + items[i][1][:-1] + "!") for k, i in enumerate((5, 9_999, 10_001, 19_999))], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leakage.leaked(docs, "doc_id", "text", its, "item_id", "passage").collect()}
+    assert got == {(5, 0), (9_999, 1), (10_001, 2), (19_999, 3)}
+
+
+def test_slots_have_to_be_replaced_consistently(spark) -> None:
+    line = "the survey of {a} found {n} {u} in spring and the growers of {a} baited {n} {u} again before winter came"
+    fill = lambda a, b, n="40", m="40", u="bags": line.replace("{a}", a, 1).replace("{a}", b).replace("{n}", n, 1).replace("{n}", m).replace("{u}", u)
+    items = [(1, fill("Wilson", "Wilson"), "How many bags did the growers near Wilson bait?", "40"), (2, fill("Mason", "Mason", "7", "7"), None, None), (3, None, "", "x")]
+    texts = [fill("Harper", "Harper"), fill("Wilson", "Harper"), fill("Wilson", "Wilson"), fill("HARPER", "Harper", "9", "9", "cards"), "so how many bags did the growers near Harper bait?", None, "", "Mason " * 5_000]
+    its = spark.createDataFrame([(*r, 1) for r in items], "item_id long, passage string, question string, answer string, template int")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string")
+    got = {(r.item_id, r.doc_id): r for r in leakage.reparameterised(docs, "doc_id", "text", its, "item_id", "passage", "question", "answer").collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 3), (1, 4), (2, 0), (2, 1), (2, 3)}  # text 2 is a copy of item 1
+    assert got[1, 0].is_consistent and not got[1, 1].is_consistent and got[1, 3].is_consistent and got[1, 4].is_consistent
+    assert (got[1, 0].n_values, got[1, 0].n_changed, got[1, 3].n_changed) == (3, 1, 3)
+    assert got[1, 0].has_answer and not got[1, 3].has_answer and got[2, 0].has_answer is None
+    assert leakage.reparameterised(docs.where("false"), "doc_id", "text", its, "item_id", "passage", "question", "answer").count() == 0
+    assert leakage.reparameterised(docs, "doc_id", "text", its.where("false"), "item_id", "passage", "question", "answer").count() == 0
 
 
 GOOD = ["Jürgen’s café notes: “¼ of cards chewed”", "La señal fue mínima: 10 % de las tarjetas", "ATENÇÃO: NÃO À noite", "Ночью было «7 °C», СССР»", "地面覆盖约 51%,作物处于开花期。", "Độ che phủ mặt đất", "¯\\_(ツ)_/¯ 👩‍🌾", "l’été, où l’activité s’élève – Âge", "naïve 11 × 7 ≈ …", "Straße: Größe, Übergröße", None, ""]
