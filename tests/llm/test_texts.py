@@ -179,6 +179,15 @@ def test_words_of_is_linear_and_distinct(spark) -> None:
     assert df.head().k == ["é0", "cafés", "0°C"]
 
 
+@given(st.lists(st.text(alphabet="ab1 é°-", max_size=12), min_size=30, max_size=60))
+@settings(max_examples=8, deadline=None)
+def test_words_are_those_of_the_parts(spark, texts) -> None:
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    parts = F.array_distinct(F.transform(F.filter(garbled._parts(F.col("t")), lambda p: p.rlike(r"[^\x00-\x7F]")), garbled._word))
+    got = df.select("t", garbled.words_of(F.col("t")).alias("a"), parts.alias("b"), F.array_join(garbled._parts(F.col("t")), "").alias("c")).collect()
+    assert all(r.a == r.b and r.c == r.t for r in got)
+
+
 def test_copies_of_a_damaged_text_do_not_outvote_its_witnesses(spark) -> None:
     page = "Straße: Größe, café, 7".encode("cp1252").decode("mac_roman")
     clean = [f"Die Straße {w} Größe. Und café {w}" for w in ("am", "im", "zum")]
