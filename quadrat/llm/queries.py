@@ -46,7 +46,7 @@ def _visits(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
     visits = visits.withColumns({"name_id": hashed(spelt), "place_id": hashed(spelt + at)})
     spellings = cut(visits.select("place_id", "name_id", "region", F.col("site").alias("farm"), F.col("farmer").alias("person"), F.col("subsite").alias("place"), *at).distinct())
     known = cut(linkage.link(spark, spellings, _registry(spark, d), "place_id", "site_data_id").select("place_id", "site_data_id"))
-    known = _spread(spellings.select("place_id", "name_id"), known)
+    known = cut(_spread(spellings.select("place_id", "name_id"), known))  # stored: its size is known when the join of the visits is planned
     visits = visits.join(known, "place_id", "left").withColumn("paddock", F.coalesce("site_data_id", -F.abs("name_id"))).drop(*spelt, *at, "name_id", "place_id", "site_data_id")
     return survivors.best_of_groups(visits, ["paddock"], "survey_id", VISIT_FIELDS, "entered_at", "source_rank", day="session_start_date", max_days=3, complete="complete", merge=merge)
 
