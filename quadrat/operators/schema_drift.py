@@ -1,10 +1,17 @@
-"""Delimited files whose headers, order, delimiters and types drift: one typed table and a change report."""
+"""Delimited files whose headers, order, delimiters and types drift: one typed table and a change report.
+
+Rows are loaded as maps from path (the plain header) to value, raw types are counted by file and path, and headers
+that no alias names are told from the files themselves: where one comes as a field goes, file after file, and never stands
+beside it, it is that field under another name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.sources.tables import cut
+
 # The headers under which a field is known, without case, spaces, dots and underscores.
 HEADER_ALIASES = {
     "crop_type": ("croptype", "cropname", "croptypeold", "cropgrown", "crop"),
@@ -65,75 +72,115 @@ def plain_header(header: Column) -> Column:
     return F.regexp_replace(F.lower(header), r"[\s._﻿]+", "")
 
 
+KINDS = ("integer", "decimal", "date", "text")
+
+
 def value_kind(v: Column) -> Column:
-    """Raw type of one value: null if blank, else integer, decimal, date or text."""
+    """Raw type of one value: null if blank, else integer, decimal, date or text. Only values with digits are matched against patterns."""
     s = F.lower(F.trim(v))
+    signs = F.translate(s, "0123456789", "")
+    digits = F.length(s) > F.length(signs)
     day, month = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])"
     date = rf"^(\d{{4}}[-/.]{month}[-/.]{day}|{day}[-/. ]{month}[-/. ]\d{{2,4}}|{month}/{day}/\d{{2,4}}|{day}[- ]({MONTHS})[a-z]*[-, ]+\d{{2,4}}|({MONTHS})[a-z]* {day},? \d{{2,4}})([ t]\d{{1,2}}:\d{{2}}.*)?$"
     return (
         F.when(s.isNull() | (s == ""), None)
-        .when(s.rlike(r"^[+-]?\d+$"), "integer")
-        .when(s.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)(e[+-]?\d+)?$"), "decimal")
+        .when(~digits, "text")
+        .when((signs == "") | (signs.isin("+", "-") & s.startswith(signs)), "integer")
+        .when((F.length(signs) <= 4) & s.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)(e[+-]?\d+)?$"), "decimal")
         .when(s.rlike(date), "date")
         .otherwise("text")
     )
 
 
-def alias_map(aliases: dict[str, tuple[str, ...]] = HEADER_ALIASES) -> Column:
-    return F.create_map(*[F.lit(x) for field, names in aliases.items() for name in names for x in (name, field)])
+def alias_table(files: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(path, field) of the stated aliases."""
+    return files.sparkSession.createDataFrame([(name, field) for field, names in aliases.items() for name in names], "path string, field string")
+
+
+def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, delimiter, paths): the plain headers of each file that has a header line (line 0; of several the smallest). A header that stands twice has its place added."""
+    h = lines.where(F.col("line_no") == 0).groupBy("file_id").agg(F.min("line").alias("_h")).join(files.select("file_id").distinct(), "file_id", "left_semi")
+    h = h.withColumn("delimiter", delimiter_of(F.col("_h"))).withColumn("_p", F.transform(split_fields(F.col("_h"), F.col("delimiter")), plain_header))
+    once = F.transform("_p", lambda p, i: F.when(F.array_position("_p", p) == i + 1, p).otherwise(F.concat_ws("#", p, (i + 1).cast("string"))))
+    return h.select("file_id", "delimiter", once.alias("paths"))
+
 
+def _split_lines(lines: DataFrame, header: DataFrame) -> DataFrame:
+    """(file_id, line_no, paths, vals) of the data lines; missing trailing values are null, surplus ones dropped."""
+    rows = lines.select("file_id", "line_no", "line").where(F.col("line_no") > 0).join(header, "file_id")
+    vals = split_fields(F.col("line"), F.col("delimiter"))
+    return rows.select("file_id", "line_no", "paths", F.slice(vals, F.lit(1), F.size("paths")).alias("vals"))
 
-def path_values(files: DataFrame, lines: DataFrame, aliases: dict[str, tuple[str, ...]] = HEADER_ALIASES) -> DataFrame:
-    """Each data line as a map: (file_id, line_no, paths ARRAY<path>, fields ARRAY<field>, vals ARRAY<value>).
+
+def path_values(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, line_no, values MAP<path, value>) of each data line.
 
     Lines of a file are joined to its header (line 0). Lines of files without a header, and files
-    without lines, give no row. ``fields`` is null where no alias names the header. Missing trailing
-    values are null, surplus ones are dropped.
+    without lines, give no row. Missing trailing values are null, surplus ones are dropped.
     """
-    lines = lines.select("file_id", "line_no", "line")
-    header = lines.where(F.col("line_no") == 0).groupBy("file_id").agg(F.min("line").alias("_h"))
-    header = header.withColumn("_d", delimiter_of(F.col("_h")))
-    paths = F.transform(split_fields(F.col("_h"), F.col("_d")), plain_header)
-    header = header.select("file_id", "_d", paths.alias("paths"))
-    header = header.join(files.select("file_id").distinct(), "file_id", "left_semi")
-    lookup = alias_map(aliases)
-    rows = lines.where(F.col("line_no") > 0).join(header, "file_id")
-    return rows.select("file_id", "line_no", "paths", F.transform("paths", lambda p: F.try_element_at(lookup, p)).alias("fields"), split_fields(F.col("line"), F.col("_d")).alias("vals"))
-
-
-def path_types(rows: DataFrame) -> DataFrame:
-    """For each file and path: its field, counts of each raw type and the file's type of the path.
-
-    Types: integer if all non-blank values are whole numbers, decimal if all are numbers, date if all are
-    calendar dates, else text; null if all are blank. Counts are summed before the shuffle.
+    rows = _split_lines(lines, headers(files, lines))
+    return rows.select("file_id", "line_no", F.map_from_entries(F.transform("paths", lambda p, i: F.struct(p, F.get("vals", i)))).alias("values"))
+
+
+def path_types(lines: DataFrame, header: DataFrame) -> DataFrame:
+    """(file_id, path, place, n_values, n_blank, n_integer, n_decimal, n_date, n_text, kind): counts of each raw type of a path in a file.
+
+    Kinds: integer if all non-blank values are whole numbers, decimal if all are numbers, date if all are
+    calendar dates, else text; null if all are blank or the file has no data lines. Counts are summed before the shuffle.
     """
-    one = F.transform(F.arrays_zip("paths", "fields"), lambda p, i: F.struct(p["paths"].alias("path"), p["fields"].alias("field"), value_kind(F.get(F.col("vals"), i)).alias("kind")))
-    flat = rows.select("file_id", F.inline(one))
+    rows = _split_lines(lines, header)
+    flat = rows.select("file_id", F.posexplode(F.transform("vals", value_kind)).alias("place", "kind"))
     count = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
-    out = flat.groupBy("file_id", "path", "field").agg(F.count("kind").alias("n_values"), F.count_if(F.col("kind").isNull()).alias("n_blank"), count("integer"), count("decimal"), count("date"), count("text"))
+    counts = flat.groupBy("file_id", "place").agg(F.count("kind").alias("n_values"), F.count_if(F.col("kind").isNull()).alias("n_blank"), *[count(k) for k in KINDS])
     n = F.col("n_values")
     kind = F.when(n == 0, None).when(F.col("n_integer") == n, "integer").when(F.col("n_integer") + F.col("n_decimal") == n, "decimal").when(F.col("n_date") == n, "date").otherwise("text")
-    return out.withColumn("kind", kind)
+    return header.select("file_id", F.posexplode("paths").alias("place", "path")).join(counts.withColumn("kind", F.when(n.isNotNull(), kind)), ["file_id", "place"], "left")
 
 
-def header_paths(files: DataFrame, lines: DataFrame, aliases: dict[str, tuple[str, ...]] = HEADER_ALIASES) -> DataFrame:
-    """(file_id, path, field) of every header, also of files without data lines."""
-    h = lines.where(F.col("line_no") == 0).groupBy("file_id").agg(F.min("line").alias("_h"))
-    h = h.select("file_id", F.explode(F.array_distinct(F.transform(split_fields(F.col("_h"), delimiter_of(F.col("_h"))), plain_header))).alias("path"))
-    return h.select("file_id", "path", F.try_element_at(alias_map(aliases), F.col("path")).alias("field"))
+def learn_aliases(files: DataFrame, types: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, field) of headers that are none of ``known`` (path, field), as far as the files tell which field they are.
+
+    ``types`` is what path_types gives. In every pair of files that follow each other in a feed, a header that only one of
+    them has may be any field that only the other has; it counts twice if both have the same type. A header is the field with the highest
+    count, if that is twice the next one's and if the two stand together in no more than one file of fifty. What is
+    learned is known for the next turn, until nothing new is found. Headers without evidence stay unknown.
+    """
+    order = Window.partitionBy("feed_id").orderBy("file_no", "file_id")
+    seq = files.select("file_id", "feed_id", "file_no").dropDuplicates(["file_id"]).join(types.select("file_id").distinct(), "file_id", "left_semi")
+    seq = seq.withColumn("b", F.lag("file_id").over(order)).where("b IS NOT NULL").select(F.col("file_id").alias("a"), "b")
+    pairs = cut(seq.unionByName(seq.select(F.col("b").alias("a"), F.col("a").alias("b"))))  # both ways
+    stored = cut(types.select("file_id", "path", "kind"))
+    learned = None
+    while True:
+        now = known if learned is None else known.unionByName(learned)
+        fields = stored.join(now, "path").groupBy("file_id", "field").agg(F.min("kind").alias("kind"))
+        free = stored.join(now, "path", "left_anti")
+        beside = free.join(fields.select("file_id", "field"), "file_id").groupBy("path", "field").agg(F.count(F.lit(1)).alias("n_beside"))
+        come = pairs.join(free.withColumnRenamed("file_id", "a"), "a").join(stored.select(F.col("file_id").alias("b"), "path"), ["b", "path"], "left_anti")
+        gone = pairs.join(fields.select(F.col("file_id").alias("b"), "field", F.col("kind").alias("kind_b")), "b").join(fields.select(F.col("file_id").alias("a"), "field"), ["a", "field"], "left_anti")
+        swaps = come.join(gone, ["a", "b"]).groupBy("path", "field").agg(F.sum(F.when(F.col("kind") == F.col("kind_b"), 2).otherwise(1)).alias("n"))
+        files_of = free.groupBy("path").agg(F.count(F.lit(1)).alias("n_files"))
+        fit = swaps.join(beside, ["path", "field"], "left").join(files_of, "path").where(F.coalesce("n_beside", F.lit(0)) * 50 <= F.col("n_files"))
+        best = fit.groupBy("path").agg(F.max_by("field", F.struct("n", "field")).alias("field"), F.max("n").alias("n"), F.sum("n").alias("total")).where(F.col("n") >= 2 * (F.col("total") - F.col("n")))
+        new = cut(best.select("path", "field"))
+        if new.isEmpty():
+            return learned if learned is not None else new
+        learned = new if learned is None else learned.unionByName(new)
 
 
 def schema_changes(files: DataFrame, lines: DataFrame, aliases: dict[str, tuple[str, ...]] = HEADER_ALIASES) -> DataFrame:
     """Changes of each file against its feed's previous one by file_no: (file_id, change_kind, field_name, before, after).
 
     added, removed, renamed (the plain header differs) and retyped (the type of the non-blank values
-    differs; a field with only blanks in either file has no type to compare). Unknown headers are
-    compared under their own plain header. The first file of a feed has no changes; repeated lines and
+    differs; a field with only blanks in either file has no type to compare). Fields are those that ``aliases`` name a header by, or
+    that learn_aliases finds; other headers are compared under their own plain header. The first file of a feed has no changes; repeated lines and
     late files make none. If a field stands twice in a header, its smallest plain header counts.
     """
-    kinds = path_types(path_values(files, lines, aliases)).select("file_id", "path", "kind")
-    cols = header_paths(files, lines, aliases).join(kinds, ["file_id", "path"], "left")
-    cols = cols.groupBy("file_id", F.coalesce("field", "path").alias("field_name")).agg(F.min_by(F.struct("path", "kind"), "path").alias("c"))
+    header = cut(headers(files, lines))
+    types = cut(path_types(lines, header).select("file_id", "path", "kind"))
+    known = alias_table(files, aliases)
+    known = known.unionByName(learn_aliases(files, types, known))
+    cols = types.join(known, "path", "left").groupBy("file_id", F.coalesce("field", "path").alias("field_name")).agg(F.min_by(F.struct("path", "kind"), "path").alias("c"))
     per_file = cols.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "c"))).alias("m"))
     order = Window.partitionBy("feed_id").orderBy("file_no", "file_id")
     seq = files.select("file_id", "feed_id", "file_no").dropDuplicates(["file_id"]).join(per_file, "file_id")
@@ -169,11 +216,15 @@ def unified_table(files: DataFrame, lines: DataFrame, fields: dict[str, str], al
     ``fields`` maps field names to text, integer, decimal or date. Blank values are null. Units and
     words around a number are dropped ('2 sprung', '18.5 g', 'night 3', '40%'; a trailing S or W makes it
     negative); a value that still can't be cast is null and its field is listed in ``failed_casts``.
-    Repeated lines of a file are kept once, with the smallest line_no.
+    Repeated lines of a file are kept once, with the smallest line_no. Headers that no alias names are learned as in schema_changes.
     """
-    rows = path_values(files, lines, aliases)
-    m = rows.select("file_id", "line_no", F.col("fields").alias("f"), F.transform("fields", lambda f, i: F.nullif(F.trim(F.get(F.col("vals"), i)), F.lit(""))).alias("v"))
-    raw = m.select("file_id", "line_no", *[F.get(F.col("v"), (F.array_position("f", f) - 1).cast("int")).alias(f) for f in fields])
+    header = cut(headers(files, lines))
+    known = alias_table(files, aliases)
+    known = known.unionByName(learn_aliases(files, path_types(lines, header).select("file_id", "path", "kind"), known))
+    paths = header.select("file_id", F.explode("paths").alias("path")).join(known, "path").groupBy("file_id", "field").agg(F.min("path").alias("path"))
+    places = header.join(paths.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "path"))).alias("_m")), "file_id", "left")
+    values = path_values(files, lines).join(places.select("file_id", "_m"), "file_id")
+    raw = values.select("file_id", "line_no", *[F.nullif(F.trim(F.try_element_at("values", F.try_element_at("_m", F.lit(f)))), F.lit("")).alias(f) for f in fields])
     raw = raw.groupBy("file_id", *fields).agg(F.min("line_no").alias("line_no"))
     out, failed = [], []
     for f, kind in fields.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import calendar as cal
-from quadrat.functions.missing import PLACEHOLDERS, count_missing, text_missing
+from quadrat.functions.missing import count_missing, text_missing
 from quadrat.operators import impute, nearby, regular_grid, schema_drift
 from quadrat.sources.tables import table
 
@@ -89,22 +89,14 @@ def p4_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    known = F.col("field_name").isin(*schema_drift.HEADER_ALIASES)
-    return p4_changes(spark, d).where(known).select("file_id", "change_kind", "field_name")
-
-
-# The canonical fields of schema_fields and their types.
-FIELD_TYPES = {
-    "crop_type": "text", "crop_stage": "text", "subsite": "text", "site": "text", "region": "text", "capture_date": "date",
-    "survey_night": "integer", "trap_type": "text", "traps_set": "integer", "phantoms": "integer", "mice_caught": "integer",
-    "weight_g": "decimal", "length_mm": "decimal", "longitude": "decimal", "latitude": "decimal", "ground_cover_percent": "integer",
-    "biomass": "text", "pit_tag": "text", "observer_comment": "text",
-}
+    known = F.broadcast(table(spark, d, "schema_fields", "field_name"))  # a fixed table of 19 rows
+    return p4_changes(spark, d).join(known, "field_name", "left_semi").select("file_id", "change_kind", "field_name")
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    """All files as one typed table; trap_type stays text, as some files hold codes and others names."""
-    out = schema_drift.unified_table(*_intake(spark, d), FIELD_TYPES)
+    """All files as one table with the types of schema_fields (19 rows); what has another type is null and named in failed_casts."""
+    fields = {r.field_name: r.value_type for r in table(spark, d, "schema_fields", "field_name", "value_type").collect()}
+    out = schema_drift.unified_table(*_intake(spark, d), fields)
     return out.withColumn("failed_casts", F.array_join("failed_casts", ","))
 
 
@@ -131,7 +123,12 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_grid, p4_fo
 # SQL for the queries that it can express over whole tables -------------------------------------------------
 
 _PLAIN = r"trim(regexp_replace(lower(crop_type), '[^\p{L}\p{N}]+', ' ', 'g'))"
-_NO_TEXT = f"coalesce({_PLAIN} IN ({', '.join(repr(p) for p in PLACEHOLDERS)}) OR regexp_matches({_PLAIN}, '^9{{2,}}( 0+)?$'), true)"
+# Written out, so that the SQL does not rest on the operator's own lists.
+_NO_VALUE = """'', 'unknown', 'unk', 'unkn', 'unknwn', 'not known', 'no data', 'nodata', 'n a', 'na', 'nan', 'null', 'nil', 'none', 'missing', 'tbc', 'tba', 'tbd', 'to be confirmed',
+  'x', 'xx', 'xxx', 'not recorded', 'not entered', 'not available', 'not stated', 'not given', 'not specified', 'not applicable', 'not noted', 'not supplied',
+  'not provided', 'no record', 'no entry', 'no value', 'unspecified', 'undefined', 'n r', 'nr', 'n d', 'nd', 'n k', 'nk', 'blank', 'empty', 'error', 'ref', 'unsure',
+  'not sure', 'dont know', 'don t know', 'no info', 'no information', 'pending', 'see notes', 'see comments'"""
+_NO_TEXT = f"coalesce({_PLAIN} IN ({_NO_VALUE}) OR regexp_matches({_PLAIN}, '^9{{2,}}( 0+)?$'), true)"
 _LETTERS = "regexp_replace(lower(season), '[^a-z]', '', 'g')"
 _SEASON = f"""CASE WHEN {_LETTERS} IN ('djf', 'decfeb') THEN 0 WHEN {_LETTERS} IN ('mam', 'marmay') THEN 1 WHEN {_LETTERS} IN ('jja', 'junaug') THEN 2 WHEN {_LETTERS} IN ('son', 'sepnov') THEN 3
   WHEN {_LETTERS}[1:2] = 'su' THEN 0 WHEN {_LETTERS}[1:2] = 'au' THEN 1 WHEN {_LETTERS}[1:2] = 'wi' THEN 2 WHEN {_LETTERS}[1:2] = 'sp' THEN 3 END"""
@@ -167,9 +164,19 @@ def _split_sql(line: str) -> str:
 
 
 _N = lambda d: f"length(h) - length(replace(h, {d}, ''))"
-_ALIASES = ", ".join(f"('{n}', '{f}')" for f, names in schema_drift.HEADER_ALIASES.items() for n in names)
+_ALIASES = """('croptype', 'crop_type'), ('cropname', 'crop_type'), ('croptypeold', 'crop_type'), ('cropgrown', 'crop_type'), ('crop', 'crop_type'), ('cropstage', 'crop_stage'),
+  ('cropstageold', 'crop_stage'), ('growthstage', 'crop_stage'), ('stage', 'crop_stage'), ('subsite', 'subsite'), ('paddock', 'subsite'), ('datasitename', 'subsite'),
+  ('datasitenameold', 'subsite'), ('site', 'site'), ('sitename', 'site'), ('property', 'site'), ('farm', 'site'), ('region', 'region'), ('areaname', 'region'),
+  ('area', 'region'), ('capturedate', 'capture_date'), ('trapdate', 'capture_date'), ('date', 'capture_date'), ('surveynight', 'survey_night'), ('night', 'survey_night'),
+  ('traptype', 'trap_type'), ('trapmodel', 'trap_type'), ('trapsset', 'traps_set'), ('ntraps', 'traps_set'), ('numbertrapsset', 'traps_set'), ('phantoms', 'phantoms'),
+  ('numberphantoms', 'phantoms'), ('falsetriggers', 'phantoms'), ('micecaught', 'mice_caught'), ('mice', 'mice_caught'), ('numbermicecaught', 'mice_caught'),
+  ('totalcaptures', 'mice_caught'), ('weightg', 'weight_g'), ('weight', 'weight_g'), ('lengthmm', 'length_mm'), ('length', 'length_mm'), ('longitude', 'longitude'),
+  ('xcoord', 'longitude'), ('eastingdeg', 'longitude'), ('latitude', 'latitude'), ('ycoord', 'latitude'), ('northingdeg', 'latitude'),
+  ('groundcoverpercent', 'ground_cover_percent'), ('groundcoverpc', 'ground_cover_percent'), ('groundcover', 'ground_cover_percent'), ('biomass', 'biomass'),
+  ('biomassnew', 'biomass'), ('pittag', 'pit_tag'), ('tagread', 'pit_tag'), ('observercomment', 'observer_comment'), ('comments', 'observer_comment'),
+  ('remarks', 'observer_comment')"""
 _DAY, _MON = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])"
-_DATE = rf"(\d{{4}}[-/.]{_MON}[-/.]{_DAY}|{_DAY}[-/. ]{_MON}[-/. ]\d{{2,4}}|{_DAY}[- ]({schema_drift.MONTHS})[a-z]*[-, ]+\d{{2,4}})"
+_DATE = rf"(\d{{4}}[-/.]{_MON}[-/.]{_DAY}|{_DAY}[-/. ]{_MON}[-/. ]\d{{2,4}}|{_DAY}[- ](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-, ]+\d{{2,4}})"
 _CHANGES = rf"""WITH al(path, field) AS (VALUES {_ALIASES}),
   h AS (SELECT file_id, min(line) AS h FROM intake_lines WHERE line_no = 0 GROUP BY 1),
   d AS (SELECT file_id, h, CASE greatest({_N("','")}, {_N("';'")}, {_N("chr(9)")}, {_N("'|'")}) WHEN {_N("','")} THEN ',' WHEN {_N("';'")} THEN ';' WHEN {_N("chr(9)")} THEN chr(9) ELSE '|' END AS d FROM h),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from quadrat.functions.missing import count_missing, text_missing
 from quadrat.operators import impute, nearby, regular_grid, schema_drift
 from tests.conftest import rows
 
+DATA = Path("/root/testdata/sf0.1")
 KEYS = {"visit": ["site", "visit", "time"], "unit": ["site"], "time": ["time"]}
 SCHEMA = "id long, site long, visit int, time int, n double, crop string, n_filled double, _t string, value int"
 
@@ -102,6 +105,69 @@ def test_schema_changes(spark) -> None:
     assert got == sorted(want, key=repr)
 
 
+def feeds(rng, alias):
+    """Feeds of files in which the headers of five fields change between names, and of which two come and go."""
+    names = {"crop_type": ["crop_type", alias, "Crop"], "phantoms": ["phantoms", "sprung"], "survey_night": ["night"], "site": ["farm", "holding"], "biomass": ["biomass"]}
+    value = {"crop_type": lambda: rng.choice(["wheat", "oats"]), "phantoms": lambda: str(rng.randint(0, 9)), "survey_night": lambda: str(rng.randint(1, 4)), "site": lambda: "poobelo", "biomass": lambda: "low"}
+    files, want, i = [], set(), 0
+    for feed in range(12):
+        have = {f: rng.choice(n) for f, n in names.items() if f != "biomass" or feed % 2}
+        for no in range(8):
+            i += 1
+            before = dict(have)
+            if no:
+                f = rng.choice(list(names))
+                if f in have and f in ("biomass", "phantoms") and rng.random() < 0.4:
+                    del have[f]
+                elif f in have:
+                    have[f] = rng.choice(names[f])
+                else:
+                    have[f] = rng.choice(names[f])
+                want |= {(i, "added", g) for g in set(have) - set(before)} | {(i, "removed", g) for g in set(before) - set(have)}
+                want |= {(i, "renamed", g) for g in set(have) & set(before) if schema_name(have[g]) != schema_name(before[g])}
+            cols = list(have)
+            rng.shuffle(cols)
+            files.append((i, feed, no, [",".join(have[c] for c in cols)] + [",".join(value[c]() for c in cols) for _ in range(3)]))
+    return files, want
+
+
+def schema_name(header):
+    return header.lower().replace("_", "")
+
+
+def test_headers_that_no_alias_names_are_learned_from_the_files(spark) -> None:
+    rng = random.Random(5)
+    files, want = feeds(rng, "What grows")
+    f = spark.createDataFrame([(i, feed, no) for i, feed, no, _ in files], "file_id long, feed_id long, file_no int")
+    lines = spark.createDataFrame([(i, n, line) for i, _, _, ls in files for n, line in enumerate(ls)], "file_id long, line_no int, line string")
+    seeds = {"crop_type": ("croptype",), "phantoms": ("phantoms",), "survey_night": ("night",), "site": ("farm",), "biomass": ("biomass",)}
+    got = {(r.file_id, r.change_kind, r.field_name) for r in schema_drift.schema_changes(f, lines, seeds).collect()}
+    assert got == want and {("renamed", "crop_type"), ("renamed", "site"), ("renamed", "phantoms")} <= {w[1:] for w in want}
+    table = schema_drift.unified_table(f, lines, {"crop_type": "text", "site": "text"}, seeds)
+    assert {r.crop_type for r in table.collect()} == {"wheat", "oats"} and {r.site for r in table.collect()} == {"poobelo"}
+
+
+def test_five_aliases_taken_from_the_list_are_found_again(spark) -> None:
+    if not DATA.exists():
+        pytest.skip("no test data")
+    f, lines = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("intake_files", "intake_lines"))
+    hidden = {"cropgrown", "paddock", "weight", "trapmodel", "growthstage"}
+    fewer = {k: tuple(n for n in v if n not in hidden) for k, v in schema_drift.HEADER_ALIASES.items()}
+    key = lambda df: {(r.file_id, r.change_kind, r.field_name, r.before, r.after) for r in df.collect()}
+    assert key(schema_drift.schema_changes(f, lines, fewer)) == key(schema_drift.schema_changes(f, lines))
+
+
+def test_path_values_are_maps(spark) -> None:
+    f, lines = intake(spark, [(1, 1, ["Crop;night;crop;crop", "wheat;1;oats", "x;2;y;z;surplus"]), (2, 2, ["a,b"]), (3, 3, [])])
+    got = rows(schema_drift.path_values(f, lines))
+    assert got == [(1, 1, {"crop": "wheat", "night": "1", "crop#3": "oats", "crop#4": None}), (1, 2, {"crop": "x", "night": "2", "crop#3": "y", "crop#4": "z"})]
+
+
+@pytest.mark.parametrize(("value", "kind"), [("7", "integer"), ("-07", "integer"), ("+", "text"), ("1-", "text"), ("1.5", "decimal"), (".5e-3", "decimal"), ("1e5", "decimal"), ("1d", "text"), ("2/3/2020", "date"), ("2020-03-02T07:00", "date"), ("02 Mar 2020", "date"), ("Mar 2, 2020", "date"), ("2.3.4", "text"), ("night 1", "text"), (" ", None), (None, None)])
+def test_value_kinds(spark, value, kind) -> None:
+    assert spark.createDataFrame([(value,)], "v string").select(schema_drift.value_kind(F.col("v")).alias("k")).head().k == kind
+
+
 def test_unified_table_types_values_and_reports_failures(spark) -> None:
     files = [(1, 1, ["date,night,weight,northing_deg,phantoms", '2/3/2020,night 2,18.5 g,33.5 S,2 sprung', "43892,3,x,-33.5,", "43892,3,x,-33.5,"]), (2, 2, [])]
     fields = {"capture_date": "date", "survey_night": "integer", "weight_g": "decimal", "latitude": "decimal", "phantoms": "integer", "biomass": "text"}
