@@ -55,6 +55,49 @@ def test_category_fill_prefers_the_visit_then_wider_levels(spark) -> None:
     assert out[96].crop_filled == "hemp" and not out[96].crop_was_missing
 
 
+def test_category_fill_learns_from_other_spellings_and_unlisted_values(spark) -> None:
+    data = [(i, 1, 1, 1, 1.0, v) for i, v in enumerate(["Wheat; thin", "WHEAT", "barley"])] + [(i, 2, 2, 1, 1.0, "Hemp ") for i in range(10, 14)] + [(i, 3, 3, 1, 1.0, "korn") for i in range(20, 24)]
+    data += [(90, 1, 1, 1, 1.0, None), (91, 2, 2, 1, 1.0, "n/a"), (92, 3, 3, 1, 1.0, "")]
+    crops, mapping = spark.createDataFrame([("wheat",), ("barley",), ("maize",)], "c string"), spark.createDataFrame([("korn", "maize"), ("korn", "maize")], "v string, c string")
+    out = {r.id: r.crop_filled for r in impute.fill_category(survey(spark, data), "crop", text_missing(F.col("crop")), crops, mapping=mapping, **KEYS).collect()}
+    assert (out[90], out[91], out[92], out[10]) == ("wheat", "hemp", "maize", "Hemp ")
+
+
+def test_effects_are_fitted_jointly(spark) -> None:
+    # units are seen at different times, so the means of units and times are confounded: only a joint fit tells them apart
+    rng = np.random.default_rng(1)
+    unit, time = rng.normal(0, 10, 40), np.linspace(0, 60, 20)
+    data = [(i, u, t, t, float(50 + unit[u] + time[t] + rng.normal(0, 1)), "x") for i, (u, t) in enumerate((u, t) for u in range(40) for t in range(20) for _ in range(2) if abs(u / 2 - t) < 6)]
+    data += [(9000 + u * 20 + t, u, 100 + t, t, None, "x") for u in range(0, 40, 4) for t in range(20)]
+    df = survey(spark, data)
+    out = impute.fill_numeric(df, "n", count_missing(F.col("n"), -1e9, 1e9), **KEYS).where("id >= 9000").collect()
+    error = np.sqrt(np.mean([(r.n_filled - 50 - unit[r.site] - time[r.time]) ** 2 for r in out]))
+    assert len(out) == 200 and error < 2.5
+
+
+@pytest.mark.skipif(not (DATA.parent / "sf0.01").exists(), reason="no test data")
+def test_held_out_values_are_filled_better_than_by_mean_and_mode(spark, capsys) -> None:
+    t = spark.read.parquet(str(DATA.parent / "sf0.01" / "data_monitoring_traps_clean.parquet")).select("record_id", "site_data_id", "session", F.year("date").alias("time"), "traps_set", "phantoms", "crop_type").cache()
+    keys = {"visit": ["site_data_id", "session", "time"], "unit": ["site_data_id"], "time": ["time"]}
+    crops = spark.read.parquet(str(DATA.parent / "sf0.01" / "metadata.parquet")).where("field_name = 'crop_type'").select("canonical_value")
+    hidden = F.pmod(F.xxhash64("record_id", F.lit(7)), F.lit(10)) == 0
+    lines = []
+    for field in ("traps_set", "phantoms"):
+        known = t.where(~count_missing(F.col(field))).withColumn("hide", hidden)
+        r = impute.fill_numeric(known, field, F.col("hide"), low=0.0, high=100.0, **keys).where("hide")
+        mean = known.where("NOT hide").agg(F.avg(field)).head()[0]
+        ours, plain = r.agg(F.sqrt(F.avg(F.pow(F.col(field) - F.col(f"{field}_filled"), 2))), F.sqrt(F.avg(F.pow(F.col(field) - mean, 2)))).head()
+        lines.append((field, ours, plain))
+    known = t.join(crops.withColumnRenamed("canonical_value", "crop_type"), "crop_type").withColumn("hide", hidden)
+    r = impute.fill_category(known, "crop_type", F.col("hide"), crops, **keys).where("hide").groupBy("crop_type", "crop_type_filled").count().collect()
+    right, every = sum(x["count"] for x in r if x.crop_type == x.crop_type_filled), sum(x["count"] for x in r)
+    mode = known.where("NOT hide").groupBy("crop_type").count().orderBy(F.desc("count")).head().crop_type
+    plain = sum(x["count"] for x in r if x.crop_type == mode) / every
+    with capsys.disabled():
+        print("\nheld-out error:", *[f"{f}: {a:.3f}, of the mean {b:.3f};" for f, a, b in lines], f"crop_type: {right / every:.3f} right, of the mode {plain:.3f}")
+    assert lines[0][1] < 0.8 * lines[0][2] and lines[1][1] <= 1.02 * lines[1][2] and right / every > max(0.6, plain + 0.2)
+
+
 def test_fills_of_empty_and_all_missing_tables(spark) -> None:
     crops = spark.createDataFrame([("wheat",)], "c string")
     for data in ([], [(1, 1, 1, 1, None, None)]):
