@@ -126,3 +126,43 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     one = df.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"c{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)])))
+
+
+def aligned_layers(a: DataFrame, b: DataFrame, keys: list[str], order: str, values: dict[str, str], *, most: int = 14) -> DataFrame:
+    """(keys, layer_no, a, b): the layers of two stacks side by side by their number, cut to the shorter stack.
+
+    ``values`` names the value column of each side. Fails if the stacks of a key differ by more than ``most`` layers.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(order)
+    number = lambda df, n: df.select(*keys, F.row_number().over(w).alias("layer_no"), F.col(values[n]).alias(n), F.lit(True).alias(f"__{n}"))
+    j = join_ns(number(a, "a"), number(b, "b"), [*keys, "layer_no"], "full")
+    every = Window.partitionBy(*keys)
+    gap = F.abs(F.count("__a").over(every) - F.count("__b").over(every))
+    ok = F.when(gap > most, F.raise_error(F.concat(F.lit(f"stacks differ by more than {most} layers: "), gap.cast("string"))).cast("boolean")).otherwise(F.col("__a") & F.col("__b"))
+    return j.withColumn("__ok", ok).where("__ok").select(*keys, "layer_no", "a", "b")
+
+
+def site_proportions(df: DataFrame, area: list[str], site: list[str], count: str, digits: int = 2) -> DataFrame:
+    """(area, n_sites, n_present, proportion): distinct sites, those with any positive count, and their share, rounded."""
+    one = df.groupBy(*area, *site).agg(F.coalesce(F.bool_or(F.col(count) > 0), F.lit(False)).alias("__p"))
+    g = one.groupBy(*area).agg(F.count(F.lit(1)).alias("n_sites"), F.count_if("__p").alias("n_present"))
+    return g.withColumn("proportion", F.round(F.col("n_present") / F.col("n_sites"), digits))
+
+
+def effort_counts(df: DataFrame, keys: list[str], response: str) -> DataFrame:
+    """(keys, n_surveys): rows of each group that have a response, one row for each group that has any."""
+    return df.where(F.col(response).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_surveys"))
+
+
+def mean_session_rate(df: DataFrame, site: str, session: str, success: str, effort: str) -> DataFrame:
+    """(site, mean_rate): mean over a site's sessions of each session's mean nightly rate in per cent, a night's rate being 100 at most.
+
+    Rates are decimals of six places, so their sums do not depend on the order of the rows.
+    """
+    night = F.round(F.least(F.col(success) / F.nullif(effort, F.lit(0.0)), F.lit(1.0)) * 100, 6).cast("decimal(18,6)")
+    d = df.where(F.col(success).isNotNull() & F.col(effort).isNotNull())
+    mean = lambda c: F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
+    s = d.groupBy(site, session).agg(F.round(mean(night), 6).cast("decimal(18,6)").alias("__s"))
+    return s.groupBy(site).agg(F.round(mean(F.col("__s")), 4).alias("mean_rate"))

@@ -120,3 +120,67 @@ def functional_effort(placed: Column, lost: Column) -> Column:
 def wide_measures(df: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     """One column for each listed name, first value by order of value (smallest); names are fixed beforehand, so there is one pass."""
     return df.groupBy(*key).agg(*[F.min(F.when(F.col(name) == n, F.col(value))).alias(f"{n}") for n in names])
+
+
+# The words of broad crop categories in their order of priority, and of young and old stages.
+FALLOW_STUBBLE = ("fallow", "stubble", "plough", "mulch")
+CROP_WORDS = (
+    ("fallow_stubble", FALLOW_STUBBLE),
+    ("wheat", ("wheat",)),
+    ("coarse_grains", ("barley", "oats", "sorghum", "maize", "millet", "rye", "ryecorn", "triticale", "cereal", "grain_crop", "cereal unknown", "canary")),
+    ("pulses", ("lentils", "lupins", "vetch", "lucerne", "bean", "pea")),
+    ("oilseeds", ("canola", "sunflower", "safflower", "linseed")),
+    ("fence", ("fence",)),
+    ("grass", ("pasture", "verge", "grass")),
+)
+YOUNG_STAGES = ("tillering", "seedling", "young")
+OLD_STAGES = ("seeding", "ripe", "old", "grain", "in head", "flowering", "mature")
+
+
+def crop_ladder(*, wheat_is_fallow: bool = False) -> list[tuple[str, tuple[str, ...], bool]]:
+    """Rules of broad_category for CROP_WORDS, the first of which looks in the stage too.
+
+    With ``wheat_is_fallow`` the first rule takes wheat as well, so that wheat is never given: the form that a later definition of
+    the same name has.
+    """
+    rules = [(name, words, name == "fallow_stubble") for name, words in CROP_WORDS]
+    return [(rules[0][0], (*rules[0][1], "wheat"), True), *rules[1:]] if wheat_is_fallow else rules
+
+
+def crop_age(category: Column, stage: Column) -> Column:
+    """Age class of a crop: none for a fence, old for grass, else by words of the stage."""
+    s = F.lower(stage)
+    some = lambda words: F.coalesce(words_match(s, *words), F.lit(False))
+    return F.when(category == "fence", None).when(category == "grass", "old").when(some(FALLOW_STUBBLE), "fallow_stubble").when(some(YOUNG_STAGES), "young").when(some(OLD_STAGES), "old")
+
+
+def recoded_again(own: Column, source: Column, labels: dict) -> Column:
+    """A column derived from another one that is recoded already: where ``source`` still holds a code its label, else ``own``.
+
+    Codes that the first recoding has turned to labels cannot occur any more, so the column passes through.
+    """
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in labels.items() for x in (str(k), v)]), source.cast("string")), own)
+
+
+def merged_zones(name: Column, merged: dict[str, tuple[str, ...]]) -> Column:
+    """Zone names with slashes as spaces, and the zones that are merged under their common name."""
+    n = F.regexp_replace(name, "/", " ")
+    for new, old in merged.items():
+        n = F.when(is_in(n, *old), new).otherwise(n)
+    return n
+
+
+def crop_from_comment(crop: Column, comment: Column, words: tuple[str, ...]) -> Column:
+    """The crop, or where it is null the first of the listed words that the comment holds."""
+    return F.coalesce(crop, rule_ladder([(F.coalesce(F.lower(comment).rlike(rf"\b{w}\b"), F.lit(False)), w) for w in words]))
+
+
+def type_and_stage(crop: Column, stage: Column) -> Column:
+    """'type_stage', the part that is known, or null."""
+    return F.nullif(F.concat_ws("_", crop, stage), F.lit(""))
+
+
+def trap_group(trap: Column, boxes: tuple[str, ...] = ("longworth", "elliott"), dropped: tuple[str, ...] = ("snapback",)) -> Column:
+    """'box_trap' for box traps, null for dropped kinds, else the kind in small letters."""
+    t = F.lower(trap)
+    return F.when(is_in(t, *boxes), "box_trap").when(~is_in(t, *dropped), t)

@@ -81,3 +81,55 @@ def sentence_list(names: Column) -> Column:
     """'a', 'a and b', 'a, b and c' of an array; empty text for an empty array."""
     n = F.size(names)
     return F.when(n == 0, "").when(n == 1, F.get(names, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(names, -1)))
+
+
+def lag_effects(effects: DataFrame, keys: list[str], lag: str, estimate: str, error: str) -> DataFrame:
+    """(keys, n_lags, estimate, se, lower, upper): effects summed over the lags, their standard errors as the root of the sum of squares, 1.96 of them on both sides."""
+    g = effects.groupBy(*keys).agg(F.count_distinct(lag).alias("n_lags"), F.sum(estimate).alias("estimate"), F.sqrt(F.sum(F.col(error) * F.col(error))).alias("se"))
+    return effect_grid(g, keys, "estimate", "se")
+
+
+def lag_grid(lags: DataFrame, lag: str, template: DataFrame, column: str, values: list[float]) -> DataFrame:
+    """Every lag with every listed value of a column on one row of template columns: a grid for predictions, as long as lags times values."""
+    base = template.drop(lag, column).limit(1)
+    grid = lags.select(lag).distinct().select(lag, F.explode(F.lit([float(v) for v in values])).alias(column))
+    return grid.join(F.broadcast(base))  # one row
+
+
+def _sentence(names: Column, before: str, after: str, none: str) -> Column:
+    return F.when(F.size(names) > 0, F.concat(F.lit(before), sentence_list(names), F.lit(after))).otherwise(F.lit(none))
+
+
+def _sorted(condition: Column, name: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(condition, name)))
+
+
+def range_of_levels(df: DataFrame, level: str, subject: str = "abundance") -> DataFrame:
+    """(sentence): 'predicted ... to be low', 'to range from low to high', or that there is none; one row."""
+    has = F.array(*[F.coalesce(F.bool_or(F.col(level) == n), F.lit(False)) for n in LEVELS])
+    present = F.transform(F.filter(F.arrays_zip(has.alias("h"), F.lit([n.lower() for n in LEVELS]).alias("n")), lambda x: x["h"]), lambda x: x["n"])
+    one = df.agg(present.alias("p"))
+    n, lo, hi = F.size("p"), F.get("p", F.lit(0)), F.element_at("p", -1)
+    text = F.when(n == 0, f"No predictions of {subject} are available.").when(n == 1, F.concat(F.lit(f"Current {subject} is predicted to be "), lo, F.lit(".")))
+    return one.select(text.otherwise(F.concat(F.lit(f"Current {subject} is predicted to range from "), lo, F.lit(" to "), hi, F.lit("."))).alias("sentence"))
+
+
+def areas_by_level(df: DataFrame, area: str, level: str, subject: str = "abundance") -> DataFrame:
+    """(sentence): the areas with moderate and with high levels, in order of name; one row. Lists are as long as there are areas."""
+    pick = lambda n: _sentence(_sorted(F.col(level) == n, F.col(area)), f"{n.lower()} in ", "", "")
+    both = df.agg(F.filter(F.array(pick("Moderate"), pick("High")), lambda x: x != "").alias("p"))
+    return both.select(_sentence(F.col("p"), f"Current {subject} is predicted to be ", ".", f"No area is predicted to have moderate or high {subject}.").alias("sentence"))
+
+
+def areas_that_change(df: DataFrame, area: str, ratio: str, *, up: bool, high: float = 1.25, low: float = 0.75, subject: str = "abundance") -> DataFrame:
+    """(sentence): the areas whose ratio to the step before is above ``high`` (or below ``low``), each with its change in whole per cent; one row."""
+    word = "increase" if up else "decrease"
+    far = F.col(ratio) > high if up else F.col(ratio) < low
+    name = F.concat(F.col(area), F.lit(" (by "), F.round(F.abs(F.col(ratio) - 1) * 100).cast("int").cast("string"), F.lit("%)"))
+    return df.agg(_sorted(far, name).alias("p")).select(_sentence(F.col("p"), f"Next season {subject} is forecast to {word} in ", ".", f"No area is forecast to {word} next season.").alias("sentence"))
+
+
+def range_of_chance(df: DataFrame, chance: str, subject: str = "high abundance") -> DataFrame:
+    """(sentence): from the least to the greatest chance, in whole per cent; one row, null without values."""
+    pct = lambda c: F.round(c * 100).cast("int").cast("string")
+    return df.agg(F.concat(F.lit(f"The chance of {subject} next season ranges from "), pct(F.min(chance)), F.lit("% to "), pct(F.max(chance)), F.lit("%.")).alias("sentence"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.nullsafe import join_ns
+from quadrat.sources.tables import cut
 
 
 def month_panel(sites: DataFrame, obs: DataFrame | None, keys: list[str], month: str, first: object, last: object) -> DataFrame:
@@ -43,25 +44,57 @@ def fill_downup(df: DataFrame, keys: list[str], order: list[Column], columns: li
     return df.withColumns({c: F.coalesce(F.last(c, True).over(down), F.first(c, True).over(up)) for c in columns})
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in ranges of its order, stored, with the number of each row's range in ``__b``; rows alike in the order are in one range."""
+    r = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("__b", F.spark_partition_id())
+    return cut(r)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    """``name``: the row's number, from 1, in the order of the whole table, which has to be a total one; no task sees more than a range of it."""
+    d = in_ranges(df, order)
+    sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    starts = F.broadcast(sizes.select("__b", before.alias("__s")))
+    w = Window.partitionBy("__b").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    return d.join(starts, "__b").withColumn(name, F.col("__s") + F.row_number().over(w)).select(*df.columns, name)
+
+
+def bind_columns(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of two tables side by side, bound by their place in a stated order; the longer one's surplus rows get nulls. Clashing columns of ``right`` get '_right'."""
+    a, b = numbered(left, left_order, "__i"), numbered(right, right_order, "__i")
+    return join_ns(a, b, ["__i"], "full").drop("__i")
+
+
 def locf(df: DataFrame, order: list[str], columns: list[str], *, keys: list[str] | None = None) -> DataFrame:
     """Last value carried on, then the first carried back; by default over the whole frame in its order, across groups.
 
-    Without keys the frame is cut into ranges by the order's first column; only each range's last and first
-    values cross to others, so that no task sees the whole frame.
+    Without keys the frame is cut into ranges of the whole order; only each range's last and first values cross to
+    others, as a scan over one row for each range, so that no task sees the whole frame.
     """
-    by = [F.col(c) for c in order]
+    by = [F.col(c).asc_nulls_first() for c in order]
     if keys:
         return fill_downup(df, keys, by, columns)
-    d = df.withColumn("__b", F.col(order[0]))
+    d = in_ranges(df, order)
     w = Window.partitionBy("__b").orderBy(*by)
-    ends = d.groupBy("__b").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__l_{c}") for c in columns], *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__f_{c}") for c in columns])
-    g = Window.partitionBy().orderBy("__b")  # one row for each value of the first column
-    ends = ends.select("__b", *[F.last(f"__l_{c}", True).over(g.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__p_{c}") for c in columns], *[F.first(f"__f_{c}", True).over(g.rowsBetween(1, Window.unboundedFollowing)).alias(f"__n_{c}") for c in columns])
-    j = join_ns(d, ends, ["__b"], "left")
     down, up = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    key = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
+    ends = d.groupBy("__b").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"__l_{c}") for c in columns], *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"__f_{c}") for c in columns])
+    g = Window.orderBy("__b")  # one row for each range
+    ends = ends.select("__b", *[F.last(f"__l_{c}", True).over(g.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__p_{c}") for c in columns], *[F.first(f"__f_{c}", True).over(g.rowsBetween(1, Window.unboundedFollowing)).alias(f"__n_{c}") for c in columns])
+    j = d.join(F.broadcast(ends), "__b", "left")
     return j.withColumns({c: F.coalesce(F.last(c, True).over(down), F.col(f"__p_{c}"), F.first(c, True).over(up), F.col(f"__n_{c}")) for c in columns}).select(*df.columns)
 
 
+def running_headers(df: DataFrame, levels: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``{level}_header``: a level's value on the first row of each of its runs in the order, null on the rows below it; a level starts anew when one above it does."""
+    out = df
+    for i, c in enumerate(levels):
+        w = Window.partitionBy(*levels[: i + 1]).orderBy(*order)
+        out = out.withColumn(f"{c}_header", F.when(F.row_number().over(w) == 1, F.col(c)))
+    return out
+
+
 def lags(df: DataFrame, keys: list[str], order: str, columns: list[str], k: int) -> DataFrame:
     """``{column}_lag1`` to ``_lagk`` by rows in order."""
     w = Window.partitionBy(*keys).orderBy(order)

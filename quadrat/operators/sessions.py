@@ -98,3 +98,25 @@ def hold_out(df: DataFrame, area: list[str], site: str, observed: str, least: in
     g = g.where((F.col("__n") >= least) & ~F.col("__b"))
     w = Window.partitionBy(*area).orderBy(hash_order([*area, site], seed), F.col(site))
     return g.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*area, site)
+
+
+MEASURES = {"traps": (("number_functional_traps1", "number_functional_traps2", "number_functional_traps3"), ("number_mice_caught1", "number_mice_caught2", "number_mice_caught3")), "chewcards": (("chewcards_deployed",), ("chewcards_chewed",)), "burrows": (("burrow_transects_searched",), ("burrow_transects_present",))}
+
+
+def one_survey_a_month(df: DataFrame, survey_type: str, month: str, tie: str, *, method: str = "highest", keys: tuple[str, ...] = ("region", "site", "subsite", "longitude", "latitude"), measures: dict = MEASURES, seed: str = "1") -> DataFrame:
+    """One row for each place and month: the one with the most effort, then the most success, then the smallest ``tie``; or, with ``random``, any one, the same for the same seed.
+
+    Effort and success are the sums of the type's columns, nulls counting as nothing. Of the ``keys`` those count that the table has.
+    """
+    if method not in ("highest", "random"):
+        raise ValueError(f"unknown method {method}")
+    if survey_type not in measures:
+        raise ValueError(f"unknown survey type {survey_type}")
+    effort, success = measures[survey_type]
+    lacking = [c for c in (*effort, *success) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    by = [k for k in keys if k in df.columns] + [month]
+    total = lambda cols: sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols), F.lit(0.0))
+    order = [hash_order([*by, tie], seed), F.col(tie)] if method == "random" else [total(effort).desc(), total(success).desc(), F.col(tie)]
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")

@@ -88,6 +88,9 @@ def buffers(points: DataFrame, id_col: str, lon: str, lat: str, metres: float, s
     return p.mapInPandas(run, f"`{id_col}` {dict(points.dtypes)[id_col]}, lons array<double>, lats array<double>")
 
 
+BRANCHES = 16
+
+
 def _hull(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Convex hull by monotone chains, counter-clockwise, not closed."""
     pts = sorted(set(pts))
@@ -108,8 +111,8 @@ def _hull(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
 def convex_hulls(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
     """(key, lons, lats, n_corners): closed convex hull of each group.
 
-    Only extreme points can be corners: each partition first reduces its groups to partial hulls, so what
-    meets for a group is small however many points it has. Groups of one or two places give those places.
+    Only extreme points can be corners: each partition first reduces its groups to partial hulls, partial hulls are folded
+    in BRANCHES tasks for each group, and only those meet for a group. Groups of one or two places give those places.
     """
     schema = f"`{key}` {dict(points.dtypes)[key]}, xs array<double>, ys array<double>"
 
@@ -122,6 +125,12 @@ def convex_hulls(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
                 held[k] = _hull(held.get(k, []) + list(zip(g[lon], g[lat])))
         yield pd.DataFrame({key: list(held), "xs": [[p[0] for p in h] for h in held.values()], "ys": [[p[1] for p in h] for h in held.values()]})
 
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        h = _hull([p for xs, ys in zip(pdf["xs"], pdf["ys"]) for p in zip(xs, ys)])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "xs": [[p[0] for p in h]], "ys": [[p[1] for p in h]]})
+
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         import pandas as pd
 
@@ -129,8 +138,9 @@ def convex_hulls(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
         ring = [*h, h[0]]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "lons": [[p[0] for p in ring]], "lats": [[p[1] for p in ring]], "n_corners": [len(h)]})
 
-    ok = points.select(key, lon, lat).where(F.col(key).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)).distinct()
-    return ok.mapInPandas(partial, schema).groupBy(key).applyInPandas(final, f"`{key}` {dict(points.dtypes)[key]}, lons array<double>, lats array<double>, n_corners int")
+    ok = points.select(key, lon, lat).where(F.col(key).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(lon) & ~F.isnan(lat))
+    parts = ok.mapInPandas(partial, schema).groupBy(key, F.pmod(F.xxhash64("xs", "ys"), F.lit(BRANCHES))).applyInPandas(fold, schema)
+    return parts.groupBy(key).applyInPandas(final, f"`{key}` {dict(points.dtypes)[key]}, lons array<double>, lats array<double>, n_corners int")
 
 
 def looks_swapped(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
@@ -197,3 +207,80 @@ def buffer_cover(points: DataFrame, key: str, lon: str, lat: str, metres: float,
     p = p.select("*", F.explode(r(F.col(lon), F.lit(dy) / F.cos(F.radians(F.abs(F.col(lat)) + dy)))).alias("col"))
     near = haversine_m(F.col(lon), F.col(lat), (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell) <= metres
     return p.where(near).select(key, "row", "col").distinct()
+
+
+# The conic equal-area projection of the continent (standard parallels, origin, and the ellipsoid's axis and squared eccentricity).
+ALBERS = {"lat1": -18.0, "lat2": -36.0, "lat0": 0.0, "lon0": 132.0, "a": 6_378_137.0, "e2": 0.00669438002290}
+
+
+def _conic(p: dict[str, float]) -> tuple:
+    from math import log
+
+    e = p["e2"] ** 0.5
+    q = lambda f: (1 - p["e2"]) * (sin(f) / (1 - p["e2"] * sin(f) ** 2) - 1 / (2 * e) * log((1 - e * sin(f)) / (1 + e * sin(f))))
+    m = lambda f: cos(f) / (1 - p["e2"] * sin(f) ** 2) ** 0.5
+    f1, f2 = radians(p["lat1"]), radians(p["lat2"])
+    n = (m(f1) ** 2 - m(f2) ** 2) / (q(f2) - q(f1))
+    c = m(f1) ** 2 + n * q(f1)
+    return q, n, c, p["a"] * (c - n * q(radians(p["lat0"]))) ** 0.5 / n
+
+
+def to_albers(lon: float, lat: float, p: dict[str, float] = ALBERS) -> tuple[float, float]:
+    """Metres east and north of the origin in an equal-area conic projection of the ellipsoid."""
+    q, n, c, rho0 = _conic(p)
+    rho, t = p["a"] * (c - n * q(radians(lat))) ** 0.5 / n, n * radians(lon - p["lon0"])
+    return rho * sin(t), rho0 - rho * cos(t)
+
+
+def from_albers(x: float, y: float, p: dict[str, float] = ALBERS) -> tuple[float, float]:
+    """Degrees of a place in metres; the latitude by Newton's method."""
+    from math import hypot
+
+    q, n, c, rho0 = _conic(p)
+    sign = 1 if n > 0 else -1
+    rho, t = hypot(x, rho0 - y) * sign, atan2(sign * x, sign * (rho0 - y))
+    want = (c - (rho * n / p["a"]) ** 2) / n
+    f = asin(max(-1.0, min(1.0, want / 2)))
+    for _ in range(12):
+        s = p["e2"] * sin(f) ** 2
+        f += (1 - s) ** 2 / (2 * cos(f)) * (want - q(f)) / (1 - p["e2"])
+    return p["lon0"] + degrees(t / n), degrees(f)
+
+
+def _widened(hull: list[tuple[float, float]], metres: float, sides: int) -> list[tuple[float, float]]:
+    """Corners of the places at most so far from a convex polygon (counter-clockwise): its edges moved outwards, with arcs of ``sides`` a circle at the corners."""
+    if len(hull) == 1:
+        return [(hull[0][0] + metres * cos(2 * pi * i / sides), hull[0][1] + metres * sin(2 * pi * i / sides)) for i in range(sides)]
+    out = []
+    for i, (x, y) in enumerate(hull):
+        (x0, y0), (x1, y1) = hull[i - 1], hull[(i + 1) % len(hull)]
+        a, b = atan2(-(x - x0), y - y0), atan2(-(x1 - x), y1 - y)  # outwards is to the right of the way
+        turn = (b - a) % (2 * pi)
+        k = max(1, int(turn / (2 * pi) * sides))
+        out += [(x + metres * cos(a + turn * j / k), y + metres * sin(a + turn * j / k)) for j in range(k + 1)]
+    return out
+
+
+def hull_buffers(points: DataFrame, key: str, lon: str, lat: str, metres: float, *, sides: int = 64, projection: dict[str, float] = ALBERS) -> DataFrame:
+    """(key, lons, lats, area_km2, centre_lon, centre_lat): the convex hull of each group widened by a distance, in an equal-area projection.
+
+    The centre is that of the area. Built from the corners of the hull alone, see convex_hulls.
+    """
+    kind = dict(points.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k, xs, ys in zip(b[key], b["lons"], b["lats"]):
+                ring = _widened(_hull([to_albers(x, y, projection) for x, y in zip(xs, ys)]), metres, sides)
+                ox, oy = ring[0]  # areas from a corner, not from the far origin
+                cross = [((a[0] - ox) * (c[1] - oy) - (c[0] - ox) * (a[1] - oy), a, c) for a, c in zip(ring, ring[1:] + ring[:1])]
+                twice = sum(x[0] for x in cross)
+                centre = from_albers(ox + sum(w * (a[0] + c[0] - 2 * ox) for w, a, c in cross) / (3 * twice), oy + sum(w * (a[1] + c[1] - 2 * oy) for w, a, c in cross) / (3 * twice), projection)
+                back = [from_albers(x, y, projection) for x, y in [*ring, ring[0]]]
+                rows.append((k, [p[0] for p in back], [p[1] for p in back], twice / 2e6, *centre))
+            yield pd.DataFrame(rows, columns=[key, "lons", "lats", "area_km2", "centre_lon", "centre_lat"])
+
+    return convex_hulls(points, key, lon, lat).mapInPandas(run, f"`{key}` {kind}, lons array<double>, lats array<double>, area_km2 double, centre_lon double, centre_lat double")

@@ -42,24 +42,48 @@ def current_next_season(spark: SparkSession, d: str) -> DataFrame:
     return o.select("d", cal.ord_label(s).alias("this_season"), cal.ord_label(s + 1).alias("next_season"), cal.ord_label(s - 1).alias("last_season"))
 
 
-# Example rules, data as any others: words that place a crop in a broad category, and whether the stage is looked at too.
-LADDER = [
-    ("fallow_stubble", ("fallow", "stubble"), True), ("wheat", ("wheat",), False), ("coarse_grains", ("barley", "oat", "triticale", "sorghum", "maize", "millet"), False),
-    ("pulses", ("pea", "bean", "lentil", "lupin", "vetch"), False), ("oilseeds", ("canola", "sunflower", "safflower", "linseed"), False), ("grass", ("pasture", "lucerne"), False),
-]
-YOUNG, OLD = ("seedling", "emergence", "tillering", "sown"), ("ripe", "grain fill", "flowering", "booting", "harvested")
-_LADDER_SQL = "CASE " + " ".join(
-    "WHEN coalesce(regexp_matches(k, '{0}'), false){1} THEN '{2}'".format("|".join(w), " OR coalesce(regexp_matches(s, '{0}'), false)".format("|".join(w)) if both else "", n) for n, w, both in LADDER
-) + " END"
-
-
-@R.add(f"""SELECT record_id, crop_category, CASE WHEN crop_category = 'grass' THEN 'old' WHEN regexp_matches(s, '{"|".join(YOUNG)}') THEN 'young' WHEN regexp_matches(s, '{"|".join(OLD)}') THEN 'old'
-  WHEN crop_category = 'fallow_stubble' THEN 'fallow' END AS crop_age FROM (SELECT record_id, k, s, {_LADDER_SQL} AS crop_category FROM (SELECT record_id, lower(crop_type) AS k, lower(crop_stage) AS s FROM data_monitoring_traps_clean))""")
+# The rules of the ladder as SQL, written out.
+_CATEGORY = """CASE WHEN coalesce(regexp_matches(k, 'fallow|stubble|plough|mulch'), false) OR coalesce(regexp_matches(s, 'fallow|stubble|plough|mulch'), false) THEN 'fallow_stubble' WHEN regexp_matches(k, 'wheat') THEN 'wheat'
+  WHEN regexp_matches(k, 'barley|oats|sorghum|maize|millet|rye|ryecorn|triticale|cereal|grain_crop|cereal unknown|canary') THEN 'coarse_grains' WHEN regexp_matches(k, 'lentils|lupins|vetch|lucerne|bean|pea') THEN 'pulses'
+  WHEN regexp_matches(k, 'canola|sunflower|safflower|linseed') THEN 'oilseeds' WHEN regexp_matches(k, 'fence') THEN 'fence' WHEN regexp_matches(k, 'pasture|verge|grass') THEN 'grass' END"""
+_AGE = """CASE WHEN crop_category = 'fence' THEN NULL WHEN crop_category = 'grass' THEN 'old' WHEN regexp_matches(s, 'fallow|stubble|plough|mulch') THEN 'fallow_stubble' WHEN regexp_matches(s, 'tillering|seedling|young') THEN 'young'
+  WHEN regexp_matches(s, 'seeding|ripe|old|grain|in head|flowering|mature') THEN 'old' END"""
+_FENCED = "(SELECT record_id, CASE WHEN lower(comments) LIKE '%fence%' THEN 'fence' ELSE lower(crop_type) END AS k, lower(crop_stage) AS s FROM data_monitoring_traps_clean)"
+
+
+def _fenced(spark: SparkSession, d: str) -> DataFrame:
+    """Crop and stage in small letters; nights whose comment speaks of a fence are taken for fence lines."""
+    kind = F.when(F.coalesce(F.contains(F.lower("comments"), F.lit("fence")), F.lit(False)), "fence").otherwise(F.lower("crop_type"))
+    return table(spark, d, TRAPS, "record_id", "crop_type", "crop_stage", "comments").select("record_id", kind.alias("k"), F.lower("crop_stage").alias("s"))
+
+
+@R.add(f"""SELECT record_id, crop_category, {_AGE} AS crop_age FROM (SELECT record_id, k, s, {_CATEGORY} AS crop_category FROM {_FENCED})""")
 def regex_category(spark: SparkSession, d: str) -> DataFrame:
-    k, s = F.lower("crop_type"), F.lower("crop_stage")
-    t = table(spark, d, TRAPS, "record_id", "crop_type", "crop_stage").withColumn("crop_category", clean.broad_category(k, s, LADDER))
-    age = clean.rule_ladder([(F.col("crop_category") == "grass", "old"), (clean.words_match(s, *YOUNG), "young"), (clean.words_match(s, *OLD), "old"), (F.col("crop_category") == "fallow_stubble", "fallow")])
-    return t.select("record_id", "crop_category", age.alias("crop_age"))
+    t = _fenced(spark, d).withColumn("crop_category", clean.broad_category(F.col("k"), F.col("s"), clean.crop_ladder()))
+    return t.select("record_id", "crop_category", clean.crop_age(F.col("crop_category"), F.col("s")).alias("crop_age"))
+
+
+@R.add(f"""SELECT record_id, CASE WHEN crop_category = 'wheat' THEN 'fallow_stubble' ELSE crop_category END AS crop_category FROM (SELECT record_id, k, s, {_CATEGORY} AS crop_category FROM (SELECT record_id, k, s FROM {_FENCED}))
+  WHERE coalesce(k NOT LIKE '%wheat%', true) AND coalesce(s NOT LIKE '%wheat%', true) UNION ALL SELECT record_id, 'fallow_stubble' FROM {_FENCED} WHERE coalesce(k LIKE '%wheat%', false) OR coalesce(s LIKE '%wheat%', false)""")
+def wheat_override(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder as its later definition has it: wheat is taken for fallow and stubble."""
+    return _fenced(spark, d).select("record_id", clean.broad_category(F.col("k"), F.col("s"), clean.crop_ladder(wheat_is_fallow=True)).alias("crop_category"))
+
+
+@R.add("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS teats, o_orderpriority AS pregnant FROM orders""")
+def recoded_twice(spark: SparkSession, d: str) -> DataFrame:
+    """A column derived from one that is recoded already passes through."""
+    labels = {"O": "open", "F": "filled"}
+    o = table(spark, d, "orders", "o_orderkey", clean.recode(F.col("o_orderstatus"), labels).alias("teats"), F.col("o_orderpriority").alias("pregnant"))
+    return o.withColumn("pregnant", clean.recoded_again(F.col("pregnant"), F.col("teats"), {"O": "yes", "F": "no"}))
+
+
+@R.add("""SELECT record_id, coalesce(crop_type, CASE WHEN regexp_matches(lower(comments), '\\bwheat\\b') THEN 'wheat' WHEN regexp_matches(lower(comments), '\\bbarley\\b') THEN 'barley' WHEN regexp_matches(lower(comments), '\\bstubble\\b') THEN 'stubble' END) AS crop,
+  nullif(concat_ws('_', crop_type, crop_stage), '') AS crop_condensed, CASE WHEN lower(trap_type) IN ('longworth', 'elliott') THEN 'box_trap' WHEN lower(trap_type) <> 'snapback' THEN lower(trap_type) END AS trap FROM data_monitoring_traps_clean""")
+def older_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """Recodes of the older cleaners: crops from comments, type and stage in one, box traps as one kind."""
+    t = table(spark, d, TRAPS, "record_id", "crop_type", "crop_stage", "trap_type", "comments")
+    return t.select("record_id", clean.crop_from_comment(F.col("crop_type"), F.col("comments"), ("wheat", "barley", "stubble")).alias("crop"), clean.type_and_stage(F.col("crop_type"), F.col("crop_stage")).alias("crop_condensed"), clean.trap_group(F.col("trap_type")).alias("trap"))
 
 
 @R.add("""SELECT p_partkey, coalesce(age, CASE WHEN cat IS NULL OR cat NOT IN ('PROMO', 'LARGE') THEN CASE WHEN b = 'low' OR cover < 50 THEN 'young' WHEN b IN ('medium', 'high') OR cover >= 50 THEN 'old' END END) AS crop_age

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from quadrat.functions import calendar as cal
 from quadrat.operators import forecast
 from quadrat.plans.registry import Registry
 from quadrat.sources import files
-from quadrat.sources.tables import shared_folder, table
+from quadrat.sources.tables import scratch, table
 from quadrat.streaming import intake
 
 R = Registry()
@@ -21,7 +19,7 @@ _CONTRACT = (("record_id", "double", True), ("region", "string", True), ("farmer
 
 def _csv_folder(spark: SparkSession, d: str) -> str:
     """The trap nights written as CSV files, one folder for each trap type."""
-    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    folder = scratch(spark, "csv")
     t = table(spark, d, TRAPS, "record_id", "region", "farmer", F.date_format("date", "d/M/yyyy").alias("date"), "traps_set", "trap_type")
     files.write_csv(t, f"{folder}/in", by="trap_type")
     return folder
@@ -29,7 +27,30 @@ def _csv_folder(spark: SparkSession, d: str) -> str:
 
 @R.add("SELECT CAST(record_id AS DOUBLE) AS record_id, region, nullif(trim(farmer, ' '), '') AS farmer, date, traps_set FROM data_monitoring_traps_clean")
 def csv_intake(spark: SparkSession, d: str) -> DataFrame:
-    return files.read_csv_folder(spark, f"{_csv_folder(spark, d)}/in", contract=_CONTRACT).drop("source_file")
+    return files.read_csv_folder(spark, f"{_csv_folder(spark, d)}/in", contract=_CONTRACT).drop("source_file", "source_path")
+
+
+@R.add("SELECT trap_type, count(*) AS n_rows, CAST(sum(traps_set) AS DOUBLE) AS traps FROM data_monitoring_traps_clean WHERE trap_type <> 'longworth' GROUP BY trap_type")
+def csv_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    """Files by where they are from, those of one folder excluded."""
+    t = files.read_csv_folder(spark, f"{_csv_folder(spark, d)}/in", contract=_CONTRACT, exclude=("trap_type=longworth",))
+    kind = F.regexp_extract("source_path", "trap_type=([^/]+)/", 1)
+    return t.groupBy(kind.alias("trap_type")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("traps_set").alias("traps"))
+
+
+@R.add("SELECT trap_type, true AS has_files FROM (SELECT DISTINCT trap_type FROM data_monitoring_traps_clean)")
+def csv_discovery(spark: SparkSession, d: str) -> DataFrame:
+    found = files.find_csv(spark, f"{_csv_folder(spark, d)}/in").select(F.regexp_extract("path", "trap_type=([^/]+)/", 1).alias("trap_type"), (F.col("length") > 0).alias("f"))
+    return found.groupBy("trap_type").agg(F.bool_or("f").alias("has_files"))
+
+
+@R.add("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def jdbc_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """A table written to a database inside the driver, for want of one, and read back in ranges of its key."""
+    url, driver = "jdbc:derby:memory:quadrat;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    cols = ("n_nationkey", "n_name", "n_regionkey")
+    table(spark, d, "nation", *cols).write.mode("overwrite").jdbc(url, "nation_copy", properties=driver)
+    return files.read_jdbc(spark, url, "nation_copy", "n_nationkey", (0, 25), 4, options=driver).select(*cols)
 
 
 @R.add("SELECT region, count(*) AS n_rows, CAST(sum(traps_set) AS DOUBLE) AS traps FROM data_monitoring_traps_clean GROUP BY region")
@@ -47,7 +68,16 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@R.add()
+_DICTIONARY = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, c.column_name, CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type,
+    CASE WHEN (SELECT count(*) FROM duckdb_columns() x WHERE x.column_name = c.column_name AND x.table_name IN ('data_monitoring_traps_clean', 'data_long', 'counts_grids_mallee')) = 3 THEN 'shared' ELSE 'own' END AS scope,
+    CASE c.column_name WHEN 'site_data_id' THEN 'paddock' WHEN 'traps_set' THEN 'traps put out' WHEN 'region' THEN 'survey region' ELSE 'not yet documented' END AS description, CAST((SELECT count(*) FROM duckdb_columns() x WHERE x.table_name = '{t}') AS INTEGER) AS n_columns, (SELECT count(*) FROM {t}) AS n_rows
+    FROM duckdb_columns() c WHERE c.table_name = '{t}'"""
+    for t in ("data_monitoring_traps_clean", "data_long", "counts_grids_mallee")
+)
+
+
+@R.add(_DICTIONARY)
 def data_dictionary(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: table(spark, d, n) for n in (TRAPS, "data_long", "counts_grids_mallee")}
     return files.data_dictionary(spark, tables, {"site_data_id": "paddock", "traps_set": "traps put out", "region": "survey region"})
@@ -66,7 +96,7 @@ def posterior_draws(spark: SparkSession, d: str) -> DataFrame:
     from quadrat.operators import sampler
 
     t = table(spark, d, "data_long", "ae_zone", cal.parse_label(F.col("season_year_adj")).alias("time"), "mice", "traps").where("traps BETWEEN 1 AND 100 AND mice IS NOT NULL")
-    draws = sampler.sample_draws(t.withColumn("share", F.col("mice") / F.col("traps")), "ae_zone", "time", "share", draws=100, burn=100)
+    draws = sampler.sample_draws(t.withColumn("share", F.col("mice") / F.col("traps")), "ae_zone", "time", "share")
     return forecast.summarise_draws(draws, "ae_zone")
 
 

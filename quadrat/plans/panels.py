@@ -159,26 +159,64 @@ def season_panel(spark: SparkSession, d: str) -> DataFrame:
     return panel.season_panel(t, ["site_data_id"], "season_ord")
 
 
-_LN = """n AS (SELECT c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, l_linenumber AS night, round(sum(l_quantity), 2) AS effort FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber < 5 AND l_tax > 0.07 AND l_discount > 0.08 AND l_quantity > 40 GROUP BY ALL)"""
+_LN = f"""n AS (SELECT site_data_id AS site, {ord_sql("date")} AS season_ord, survey_night AS night, CAST(sum(nullif(traps_night, 'NaN'::DOUBLE)) AS DOUBLE) AS effort FROM data_monitoring_traps_clean WHERE date BETWEEN DATE '2008-12-01' AND DATE '2025-11-30' GROUP BY ALL)"""
 
 
-def _line_nights(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate").join(table(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount").where("l_linenumber < 5 AND l_tax > 0.07D AND l_discount > 0.08D AND l_quantity > 40")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), F.col("l_linenumber").alias("night")).agg(F.round(F.sum("l_quantity"), 2).alias("effort"))
+def _night_effort(spark: SparkSession, d: str) -> DataFrame:
+    """(site, season_ord, night, effort) of all trap nights with a possible date."""
+    t = table(spark, d, TRAPS, "site_data_id", "date", "survey_night", "traps_night").where("date BETWEEN DATE'2008-12-01' AND DATE'2025-11-30'")
+    return t.groupBy(F.col("site_data_id").alias("site"), cal.season_ord(F.col("date")).alias("season_ord"), F.col("survey_night").alias("night")).agg(F.sum(F.nanvl("traps_night", F.lit(None).cast("double"))).alias("effort"))
 
 
-@R.add(f"""WITH {_LN}, g AS (SELECT nation, year, CAST(unnest(generate_series(1, m)) AS INTEGER) AS night FROM (SELECT nation, max(night) AS m FROM n GROUP BY 1), (SELECT DISTINCT year FROM n)) SELECT g.nation, g.year, g.night, n.effort FROM g LEFT JOIN n USING (nation, year, night)""")
+@R.add(f"""WITH {_LN}, g AS (SELECT site, season_ord, CAST(unnest(generate_series(1, m)) AS INTEGER) AS night FROM (SELECT site, max(night) AS m FROM n GROUP BY 1 HAVING max(night) >= 1), (SELECT DISTINCT season_ord FROM n)) SELECT g.site, g.season_ord, g.night, n.effort FROM g LEFT JOIN n USING (site, season_ord, night)""")
 def grid_complete(spark: SparkSession, d: str) -> DataFrame:
-    return panel.complete_nights(_line_nights(spark, d), ["nation"], "year", "night")
+    return panel.complete_nights(_night_effort(spark, d), ["site"], "season_ord", "night")
 
 
-@R.add(f"""WITH {_LN}, c AS (SELECT DISTINCT nation, night FROM n), t AS (SELECT nation, year, round(min(effort), 2) AS cov FROM n GROUP BY ALL) SELECT t.nation, t.year, t.cov, c.night, n.effort FROM t JOIN c USING (nation) LEFT JOIN n ON n.nation = t.nation AND n.year = t.year AND n.night = c.night""")
+@R.add(f"""WITH {_LN}, c AS (SELECT DISTINCT site, night FROM n), t AS (SELECT site, season_ord, min(effort) AS cov FROM n GROUP BY ALL) SELECT t.site, t.season_ord, t.cov, c.night, n.effort FROM t JOIN c USING (site) LEFT JOIN n ON n.site = t.site AND n.season_ord = t.season_ord AND n.night IS NOT DISTINCT FROM c.night""")
 def survey_grid(spark: SparkSession, d: str) -> DataFrame:
-    n = _line_nights(spark, d)
-    n = n.withColumn("cov", F.col("effort"))
-    return panel.survey_grid(n, ["nation"], "year", ["night"], ["effort"], ["cov"])
+    n = _night_effort(spark, d).withColumn("cov", F.col("effort"))
+    return panel.survey_grid(n, ["site"], "season_ord", ["night"], ["effort"], ["cov"])
+
+
+@R.add(f"""WITH {_LN}, y AS (SELECT DISTINCT CAST(season_ord % 4 AS INTEGER) AS season, CAST(season_ord // 4 AS INTEGER) AS year FROM n), g AS (SELECT site, season, year, CAST(unnest(generate_series(1, m)) AS INTEGER) AS night FROM (SELECT site, max(night) AS m FROM n GROUP BY 1 HAVING max(night) >= 1), y)
+  SELECT g.site, g.season, g.year, g.night, n.effort FROM g LEFT JOIN n ON g.site = n.site AND g.night = n.night AND n.season_ord = g.year * 4 + g.season""")
+def nested_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every night at each pair of season and year that occurs, the pairs kept together."""
+    n = _night_effort(spark, d).withColumn("at", F.struct(F.pmod("season_ord", F.lit(4)).alias("season"), cal.ord_year(F.col("season_ord")).alias("year"))).drop("season_ord")
+    return panel.complete_nights(n, ["site"], "at", "night").select("site", "at.season", "at.year", "night", "effort")
+
+
+@R.add("""WITH p AS (SELECT region, site, subsite, strftime(session_start_date, '%Y-%m') AS month, survey_id, traps_set, number_mice_caught FROM data_deduplicate_surveys_season)
+  SELECT region, site, subsite, month, survey_id FROM p QUALIFY row_number() OVER (PARTITION BY region, site, subsite, month ORDER BY coalesce(traps_set, 0) DESC, coalesce(number_mice_caught, 0) DESC, survey_id) = 1""")
+def one_survey_a_month(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, VISITS, "region", "site", "subsite", F.date_format("session_start_date", "yyyy-MM").alias("month"), "survey_id", "traps_set", "number_mice_caught")
+    out = sessions.one_survey_a_month(v, "visits", "month", "survey_id", measures={"visits": (("traps_set",), ("number_mice_caught",))})
+    return out.select("region", "site", "subsite", "month", "survey_id")
+
+
+@R.add("""SELECT long_id, CAST(row_number() OVER (PARTITION BY series ORDER BY session_start_date, long_id) AS INTEGER) AS time FROM data_long""")
+def series_time(spark: SparkSession, d: str) -> DataFrame:
+    """Time as the number of the row in its series."""
+    w = Window.partitionBy("series").orderBy("session_start_date", "long_id")
+    return table(spark, d, "data_long", "long_id", "series", "session_start_date").select("long_id", F.row_number().over(w).alias("time"))
+
+
+@R.add("""SELECT survey_id, CASE WHEN row_number() OVER (PARTITION BY region ORDER BY region, site, survey_id) = 1 THEN region END AS region_header, CASE WHEN row_number() OVER (PARTITION BY region, site ORDER BY region, site, survey_id) = 1 THEN site END AS site_header FROM data_deduplicate_surveys_season""")
+def running_headers(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, VISITS, "survey_id", "region", "site")
+    return panel.running_headers(v, ["region", "site"], ["region", "site", "survey_id"]).select("survey_id", "region_header", "site_header")
+
+
+@R.add("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey FROM orders), b AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey FROM customer) SELECT o_orderkey, c_custkey FROM a FULL JOIN b ON a.i = b.i""")
+def bind_by_place(spark: SparkSession, d: str) -> DataFrame:
+    return panel.bind_columns(table(spark, d, "orders", "o_orderkey"), table(spark, d, "customer", "c_custkey"), ["o_orderkey"], ["c_custkey"])
+
+
+@R.add("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
+def top_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The head of an order: a report of the first 20."""
+    return table(spark, d, "orders", "o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
 
 
 _HOLES = "(SELECT nation, month, CASE WHEN n % 3 = 0 THEN NULL ELSE total END AS total FROM m)"
@@ -221,10 +259,13 @@ def lag_array(spark: SparkSession, d: str) -> DataFrame:
     return a.select("nation", "season_ord", F.posexplode("lagged").alias("lag_no", "total"))
 
 
-@R.add("""SELECT o_orderkey, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS w_1_urgent, CAST(o_orderpriority = '4-NOT SPECIFIED' AS INTEGER) AS w_4_not_specified FROM orders""")
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@R.add("""SELECT o_orderkey, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS w_1_urgent, CAST(o_orderpriority = '2-HIGH' AS INTEGER) AS w_2_high, CAST(o_orderpriority = '3-MEDIUM' AS INTEGER) AS w_3_medium, CAST(o_orderpriority = '4-NOT SPECIFIED' AS INTEGER) AS w_4_not_specified, CAST(o_orderpriority = '5-LOW' AS INTEGER) AS w_5_low FROM orders""")
 def one_hot_levels(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
-    cols = panel.one_hot(F.col("o_orderpriority"), ["1-URGENT", "4-NOT SPECIFIED"], "w")
+    cols = panel.one_hot(F.col("o_orderpriority"), _PRIORITIES, "w")
     return o.select("o_orderkey", *[c.alias(n) for n, c in cols.items()])
 
 
@@ -245,9 +286,12 @@ def equal_series_check(spark: SparkSession, d: str) -> DataFrame:
     return panel.equal_length(table(spark, d, "data_long", "series", "season_year_adj"), "series", "season_year_adj")
 
 
-@R.add("""SELECT l_orderkey, min(l_quantity) FILTER (l_linenumber = 1) AS "1", min(l_quantity) FILTER (l_linenumber = 2) AS "2", min(l_quantity) FILTER (l_linenumber = 3) AS "3" FROM lineitem GROUP BY l_orderkey""")
+_WIDE_SQL = ", ".join(f'min(l_quantity) FILTER (l_linenumber = {i}) AS "{i}"' for i in range(1, 8))
+
+
+@R.add(f"SELECT l_orderkey, {_WIDE_SQL} FROM lineitem GROUP BY l_orderkey")
 def pivot_nights(spark: SparkSession, d: str) -> DataFrame:
-    return clean.wide_measures(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_linenumber", "l_quantity", ["1", "2", "3"])
+    return clean.wide_measures(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_linenumber", "l_quantity", [str(i) for i in range(1, 8)])
 
 
 @R.add("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['l_quantity', 'l_discount', 'l_tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem""")

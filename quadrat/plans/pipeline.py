@@ -11,7 +11,7 @@ from quadrat.functions import calendar as cal
 from quadrat.functions.missing import count_missing, text_missing
 from quadrat.functions.nullsafe import join_ns, pct_deviation
 from quadrat.operators import aggregates, clean, filters, nearby, panel, response, sessions, spatial
-from quadrat.plans.cleaning import LADDER
+from quadrat.operators.clean import crop_ladder
 from quadrat.plans.registry import Registry
 from quadrat.sources.tables import table
 
@@ -39,7 +39,7 @@ def clean_nights(nights: DataFrame, options: Options) -> DataFrame:
     n = n.withColumn("crop_type", F.when(~text_missing(F.col("crop_type")), F.col("crop_type")))
     n = n.withColumns({c: F.when(~count_missing(F.col(c), high=1000.0), F.col(c)) for c in ("traps_set", "phantoms", "mice_night")})
     n = n.withColumns({
-        "crop_category": clean.broad_category(F.col("crop_type"), F.col("crop_stage"), LADDER),
+        "crop_category": clean.broad_category(F.col("crop_type"), F.col("crop_stage"), crop_ladder()),
         "effort": clean.functional_effort(F.col("traps_set"), F.col("phantoms")),
         "season_ord": cal.season_ord(F.coalesce("session_start_date", "date")),
     })
@@ -47,15 +47,18 @@ def clean_nights(nights: DataFrame, options: Options) -> DataFrame:
     return filters.exclude(n, options.exclude or {})
 
 
-def seasonal_covariate(sites: DataFrame, raster: DataFrame, grid: dict[str, float], options: Options) -> DataFrame:
-    """(site, season_ord, cov, cov_pctdev): strict three-month means of a monthly raster at each site, and the deviation from its season's mean."""
-    months = panel.month_panel(sites, None, ["site_data_id"], "month", options.first, options.last)
-    m = join_ns(months, sites, ["site_data_id"], "left")
-    m = spatial.raster_values(m, "longitude", "latitude", F.concat_ws("-", F.year("month"), F.month("month")), raster, grid, "v").withColumn("season_ord", cal.season_ord(F.col("month")))
-    s = aggregates.seasonal_strict(m, ["site_data_id"], "season_ord", "month", {"cov": ("v", "mean")})
+def seasonal_covariate(cells: DataFrame, raster: DataFrame, options: Options) -> DataFrame:
+    """(row, col, season_ord, cov, cov_pctdev): strict three-month means of a monthly raster in each cell, and the deviation from its season's mean.
+
+    Worked out for the cells that hold sites, which are far fewer than the sites.
+    """
+    m = panel.month_panel(cells, None, ["row", "col"], "month", options.first, options.last)
+    m = m.withColumn("layer_key", F.concat_ws("-", F.year("month"), F.month("month"))).join(raster.select("layer_key", "row", "col", F.col("value").alias("v")), ["layer_key", "row", "col"], "left")
+    m = m.withColumn("season_ord", cal.season_ord(F.col("month")))
+    s = aggregates.seasonal_strict(m, ["row", "col"], "season_ord", "month", {"cov": ("v", "mean")})
     s = s.withColumn("season", F.pmod(F.col("season_ord"), F.lit(4)))
-    normal = s.groupBy("site_data_id", "season").agg(F.avg("cov").alias("normal"))
-    return join_ns(s, normal, ["site_data_id", "season"], "left").select("site_data_id", "season_ord", "cov", pct_deviation(F.col("cov"), F.col("normal")).alias("cov_pctdev"))
+    normal = s.groupBy("row", "col", "season").agg(F.avg("cov").alias("normal"))
+    return s.join(normal, ["row", "col", "season"]).select("row", "col", "season_ord", "cov", pct_deviation(F.col("cov"), F.col("normal")).alias("cov_pctdev"))
 
 
 def model_table(nights: DataFrame, sites: DataFrame, raster: DataFrame, grid: dict[str, float], options: Options = Options()) -> DataFrame:
@@ -72,10 +75,13 @@ def model_table(nights: DataFrame, sites: DataFrame, raster: DataFrame, grid: di
     full = join_ns(panel.season_panel(total, ["site_data_id"], "season_ord", extra=1), total, key, "left").withColumns({"n_success": b["n_success"]})
     full = full.withColumn("mice_prop", response.beta_response(F.col("n_success"), F.col("n_trial"))["mice_prop"])
     full = filters.min_observed(full, ["site_data_id"], "mice_prop", options.more_than)
-    cov = panel.lags(seasonal_covariate(sites, raster, grid, options), ["site_data_id"], "season_ord", ["cov_pctdev"], options.n_lags)
-    full = panel.fill_downup(join_ns(full, cov, key, "left"), ["site_data_id"], [F.col("season_ord")], ["crop_category"])
+    row, col = spatial.cell_of(F.col("longitude"), F.col("latitude"), grid)
+    placed = sites.withColumns({"row": row, "col": col})
+    cov = seasonal_covariate(placed.select("row", "col").where("row IS NOT NULL").distinct(), raster, options)
+    cov = panel.lags(cov, ["row", "col"], "season_ord", ["cov_pctdev"], options.n_lags)
+    full = panel.fill_downup(full, ["site_data_id"], [F.col("season_ord")], ["crop_category"])
     full = panel.time_index(full, "season_ord")
-    lat = join_ns(full, sites, ["site_data_id"], "left")
+    lat = join_ns(full, placed, ["site_data_id"], "left").join(cov, ["row", "col", "season_ord"], "left")
     return lat.select(
         "site_data_id", "season_ord", cal.ord_label(F.col("season_ord")).alias("season_year_adj"), "time", response.series_key(F.lit("site"), F.col("site_data_id")).alias("series"),
         "crop_category", "nights", "n_trial", "n_success", F.round("mice_prop", 6).alias("mice_prop"), F.when(F.col("nights") > 1, 1.0).otherwise(0.25).alias("obs_weight"),

@@ -129,12 +129,11 @@ def global_scales(spark: SparkSession, d: str) -> DataFrame:
     return s.where("rate IS NOT NULL").agg(F.max("n").alias("max_individuals"), F.round(F.max("rate"), 6).alias("max_rate"))
 
 
-@R.add("""WITH r AS (SELECT subsite, session, avg(least(mice_night / nullif(traps_set, 0), 1) * 100) AS s FROM (SELECT subsite, session, mice_night, traps_set FROM data_monitoring_traps_clean WHERE mice_night IS NOT NULL AND traps_set IS NOT NULL) GROUP BY ALL)
-  SELECT subsite, round(avg(s), 4) AS mean_rate FROM r GROUP BY subsite""")
+@R.add("""WITH n AS (SELECT subsite, session, CAST(round(least(mice_night / nullif(traps_set, 0), 1) * 100, 6) AS DECIMAL(18, 6)) AS v FROM data_monitoring_traps_clean WHERE mice_night IS NOT NULL AND traps_set IS NOT NULL),
+  s AS (SELECT subsite, CAST(round(CAST(sum(v) AS DOUBLE) / nullif(count(v), 0), 6) AS DECIMAL(18, 6)) AS s FROM n GROUP BY subsite, session)
+  SELECT subsite, round(CAST(sum(s) AS DOUBLE) / nullif(count(s), 0), 4) AS mean_rate FROM s GROUP BY subsite""")
 def session_rates(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, TRAPS, "subsite", "session", "mice_night", "traps_set").where("mice_night IS NOT NULL AND traps_set IS NOT NULL")
-    s = t.groupBy("subsite", "session").agg(F.avg(F.least(F.col("mice_night") / F.nullif("traps_set", F.lit(0.0)), F.lit(1.0)) * 100).alias("s"))
-    return s.groupBy("subsite").agg(F.round(F.avg("s"), 4).alias("mean_rate"))
+    return agg.mean_session_rate(table(spark, d, TRAPS, "subsite", "session", "mice_night", "traps_set"), "subsite", "session", "mice_night", "traps_set")
 
 
 @R.add("""SELECT count(DISTINCT lower(region)) AS n_regions, count(DISTINCT lower(site)) AS n_sites, CAST(sum(number_mice_caught) AS DOUBLE) AS mice, round(CASE WHEN sum(traps_set) > 0 THEN 100 * sum(number_mice_caught) / sum(traps_set) ELSE 0 END, 4) AS pct, min(session_start_date) AS first_day, max(session_end_date) AS last_day FROM data_deduplicate_surveys_season""")

@@ -20,17 +20,27 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share, from spark.checkpoint.dir; where none is set, one of its own on a single machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = tempfile.mkdtemp(prefix="quadrat-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there when the application ends is deleted."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: what builds on it is planned and computed once."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again: what builds on it is planned and computed once, and a lost executor costs no more than the step it was at."""
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

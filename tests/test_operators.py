@@ -159,9 +159,9 @@ def test_csv_folder_stream_stages_and_dictionary(spark, tmp_path) -> None:
     (folder / "a.csv").write_text("id,day,note\n1,1/2/2020, x \n2,31/2/2020,\n")
     (folder / "deep" / "b.csv").write_text("id,day,note\nx,3/4/2021,y\n")
     (folder / "skip.csv").write_text("id,day,note\n9,1/1/2020,z\n")
-    got = rows(files.read_csv_folder(spark, str(folder), contract=contract, exclude=("skip.csv",)))
+    got = rows(files.read_csv_folder(spark, str(folder), contract=contract, exclude=("skip.csv",)).drop("source_path"))
     assert got == sorted([(1.0, D(2020, 2, 1), "x", "a.csv"), (2.0, None, None, "a.csv"), (None, D(2021, 4, 3), "y", "b.csv")], key=repr)
-    assert len(files.find_csv(str(folder))) == 3 and files.find_csv(str(tmp_path / "none")) == []
+    assert files.find_csv(spark, str(folder)).count() == 3 and files.find_csv(spark, str(tmp_path / "none")).count() == 0
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     take = lambda: intake.run_once(intake.intake_stream(spark, str(folder), contract), out, check)
     for _ in range(2):  # the second run finds nothing new

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 DATA = Path("/root/testdata/sf0.001")
-MODULES = [importlib.import_module(f"quadrat.plans.{m}") for m in ("core_problems", "cleaning", "relations", "summaries", "panels", "models", "intake", "extras", "pipeline")]
+MODULES = [importlib.import_module(f"quadrat.plans.{m}") for m in ("core_problems", "cleaning", "relations", "summaries", "panels", "models", "rapid", "intake", "extras", "pipeline")]
 CASES = [(n, f, m.SQL[n]) for m in MODULES for n, f in m.QUERIES.items() if n in getattr(m, "SQL", {})]
 
 
