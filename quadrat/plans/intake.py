@@ -100,4 +100,16 @@ def posterior_draws(spark: SparkSession, d: str) -> DataFrame:
     return forecast.summarise_draws(draws, "ae_zone")
 
 
+@R.add()
+def beta_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of the beta state-space model of each zone, two seasons on, with four lags of the share and the season as covariates."""
+    from quadrat.operators import panel, sampler
+
+    t = table(spark, d, "data_long", "ae_zone", cal.parse_label(F.col("season_year_adj")).alias("time"), "mice", "traps").where("traps BETWEEN 1 AND 100 AND mice IS NOT NULL AND ae_zone IS NOT NULL")
+    t = t.groupBy("ae_zone", "time").agg((F.sum("mice") / F.sum("traps")).alias("share"))
+    t = panel.lags(t, ["ae_zone"], "time", ["share"], 4).withColumns({f"season{i}": (F.pmod("time", F.lit(4)) == i).cast("int") for i in range(3)})
+    draws = sampler.beta_forecast(t, "ae_zone", "time", "share", [*(f"share_lag{i}" for i in range(1, 5)), *(f"season{i}" for i in range(3))])
+    return forecast.summarise_draws(draws, "ae_zone")
+
+
 QUERIES, SQL = R.queries, R.sql

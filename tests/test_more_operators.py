@@ -6,10 +6,11 @@ import math
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.operators import aggregates, clean, panel, rapid, sessions, spatial
+from quadrat.operators import aggregates, clean, panel, rapid, sampler, sessions, spatial
 from quadrat.operators.quality import summary
 from quadrat.sources import files, rasters, remote, tables
 from tests.conftest import rows
@@ -134,3 +135,42 @@ def test_a_cluster_without_a_shared_folder_is_an_error() -> None:
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="shared folder"):
         tables.shared_folder(cluster)
+
+
+def test_beta_model_finds_the_parameters_it_was_drawn_from() -> None:
+    rng = np.random.default_rng(3)
+    hits, near = 0, []
+    for k in range(6):
+        n, x = 80, rng.normal(size=(80, 2))
+        a = np.zeros(n)
+        for t in range(1, n):
+            a[t] = 0.5 * a[t - 1] + rng.normal() * 0.2
+        mu = 1 / (1 + np.exp(-(-1.0 + 0.8 * x[:, 0] + a)))
+        y = rng.beta(mu * 10, (1 - mu) * 10)
+        y[rng.random(n) < 0.2] = np.nan
+        means, params = sampler.fit_beta_series(y, x, 400, 400, k)
+        lo, hi = np.quantile(means, [0.025, 0.975], axis=0)
+        hits += int(((lo <= mu) & (mu <= hi)).sum())
+        near.append(params.mean(0))
+    phi, ar1, sigma, mean, b0, b1 = np.mean(near, axis=0)
+    assert hits >= 0.85 * 6 * 80 and abs(b0 - 0.8) < 0.15 and abs(b1) < 0.15 and abs(mean + 1) < 0.3 and 5 < phi < 20 and -0.2 < ar1 < 0.9 and 0.02 < sigma < 0.6
+
+
+def test_log_gamma_and_priors() -> None:
+    x = np.array([1e-4, 0.3, 1.0, 2.5, 40.0, 1e4])
+    assert np.allclose(sampler._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+    p = sampler.Priors()
+    assert p.log(-1, 0, 1) == p.log(1, 1, 1) == p.log(1, 0, 0) == -np.inf and np.isfinite(p.log(4, 0.3, 0.2))
+
+
+def test_forecasts_go_past_the_last_step_and_are_saved(spark, tmp_path) -> None:
+    rng = np.random.default_rng(0)
+    data = [(k, t, None if t == 3 else float(rng.uniform(0.1, 0.4)), float(t % 4 == 0)) for k in ("a", "b") for t in range(12) if t != 7] + [(None, 1, 0.5, 0.0), ("a", None, 0.5, 0.0), ("c", 5, None, None)]
+    df = spark.createDataFrame(data, "s string, t int, v double, x double")
+    make = lambda: sampler.beta_forecast(df, "s", "t", "v", ["x"], draws=20, burn=20)
+    one, two = rows(make()), rows(make())
+    assert one == two and {r[0] for r in one} == {"a", "b", "c"} and len(one) == 20 * (14 + 14 + 3) and all(0 < r[3] < 1 for r in one)
+    assert {r[2] for r in one if r[4] and r[0] == "a"} == {12, 13} and make().where("false").count() == 0
+    s = sampler.save_model(make(), str(tmp_path / "model"), "s").collect()
+    assert {(r.s, r.n_draws, r.n_times) for r in s} == {("a", 20, 14), ("b", 20, 14), ("c", 20, 3)} and spark.read.parquet(str(tmp_path / "model" / "draws")).count() == len(one)
+    assert sampler.beta_forecast(df.where("false"), "s", "t", "v", ["x"], draws=5, burn=5).count() == 0
