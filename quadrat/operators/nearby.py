@@ -22,28 +22,55 @@ def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) ->
     return F.coalesce(lon.between(w, e) & lat.between(s, n) & ~F.isnan(lon) & ~F.isnan(lat), F.lit(False))
 
 
-def near_pairs(points: DataFrame, id_col: str, lon: str, lat: str, metres: float, box: tuple[float, float, float, float]) -> DataFrame:
-    """Pairs (first_id < second_id, distance_m) of points at most ``metres`` apart.
+def _placed(points: DataFrame, id_col: str, lon: str, lat: str, box: tuple[float, float, float, float]) -> DataFrame:
+    return points.where(in_box(F.col(lon), F.col(lat), box)).select(F.col(id_col).alias("id"), F.col(lon).alias("x"), F.col(lat).alias("y")).distinct()
 
-    Points outside ``box`` or without coordinates have no partner. Equal coordinates are first
-    gathered into one place (copies join as one), places meet in a grid whose cells are as wide as the
+
+def _met(places: DataFrame, metres: float, box: tuple[float, float, float, float]) -> DataFrame:
+    """(x1, y1, x2, y2, distance_m): pairs of different places at most so far apart.
+
+    Places meet in a grid whose cells are as wide as the
     distance at the box's worst latitude: a place looks into its own cell and four of its eight
-    neighbours, so each pair of cells is met once. Repeated ids count once per coordinate.
+    neighbours, so each pair of cells is met once.
     """
-    south, north = box[2], box[3]
     dlat = metres / (EARTH_M * radians(1)) * 1.000001
-    dlon = dlat / cos(radians(max(abs(south), abs(north))))
-    p = points.where(in_box(F.col(lon), F.col(lat), box)).select(F.col(id_col).alias("id"), F.col(lon).alias("x"), F.col(lat).alias("y")).distinct()
-    places = p.select("x", "y").distinct().select("x", "y", F.floor(F.col("x") / dlon).alias("cx"), F.floor(F.col("y") / dlat).alias("cy"))
+    dlon = dlat / cos(radians(max(abs(box[2]), abs(box[3]))))
+    cells = places.select("x", "y", F.floor(F.col("x") / dlon).alias("cx"), F.floor(F.col("y") / dlat).alias("cy"))
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
-    look = places.select(F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy", F.inline(offsets)).select("x1", "y1", "i", "j", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-    b = places.select(F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
+    look = cells.select(F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy", F.inline(offsets)).select("x1", "y1", "i", "j", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
+    b = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
     d = haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     own = (F.col("i") == 0) & (F.col("j") == 0)
-    met = look.join(b, ["cx", "cy"]).where(~own | (F.struct("x1", "y1") <= F.struct("x2", "y2"))).where(d <= metres).select("x1", "y1", "x2", "y2", d.alias("distance_m"))
+    return look.join(b, ["cx", "cy"]).where(~own | (F.struct("x1", "y1") < F.struct("x2", "y2"))).where(d <= metres).select("x1", "y1", "x2", "y2", d.alias("distance_m"))
+
+
+def near_places(points: DataFrame, id_col: str, lon: str, lat: str, metres: float, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (first_place, second_place, distance_m) of different places at most ``metres`` apart, and the place of each id (id, place_id).
+
+    A place is a coordinate, named by the smallest id that is at it. However many ids share one, a place is one row
+    of the pairs: nothing is expanded. Points outside ``box`` or without coordinates are in neither.
+    """
+    p = _placed(points, id_col, lon, lat, box)
+    places = p.groupBy("x", "y").agg(F.min("id").alias("place_id"))
+    members = p.join(places, ["x", "y"]).select(F.col("id").alias(id_col), "place_id")
+    name = lambda n: places.select(F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("place_id").alias(f"p{n}"))
+    met = _met(places, metres, box).join(name(1), ["x1", "y1"]).join(name(2), ["x2", "y2"])
+    return met.select(F.least("p1", "p2").alias("first_place"), F.greatest("p1", "p2").alias("second_place"), "distance_m"), members
+
+
+def near_pairs(points: DataFrame, id_col: str, lon: str, lat: str, metres: float, box: tuple[float, float, float, float]) -> DataFrame:
+    """Pairs (first_id < second_id, distance_m) of points at most ``metres`` apart.
+
+    Points outside ``box`` or without coordinates have no partner. Equal coordinates are first
+    gathered into one place (copies join as one) and places meet in a grid; then ids stand in for places. Where many ids share a coordinate
+    the pairs are as many as asked for; near_places() gives the same without expanding them. Repeated ids count once per coordinate.
+    """
+    p = _placed(points, id_col, lon, lat, box)
+    places = p.select("x", "y").distinct()
+    here = places.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.lit(0.0).alias("distance_m"))
     q = p.select(F.col("id").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     r = p.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = met.join(q, ["x1", "y1"]).join(r, ["x2", "y2"])
+    pairs = _met(places, metres, box).unionByName(here).join(q, ["x1", "y1"]).join(r, ["x2", "y2"])
     same = (F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))
     pairs = pairs.where(F.when(same, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
     return pairs.groupBy(F.least("a", "b").alias("first_id"), F.greatest("a", "b").alias("second_id")).agg(F.min("distance_m").alias("distance_m"))

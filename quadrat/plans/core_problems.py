@@ -77,6 +77,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return g.select("site_data_id", cal.ord_year(F.col("step")).alias("year_adj"), cal.ord_name(F.col("step")).alias("season"))
 
 
+def p3_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """Mice a night of each paddock at the start of every week, between the readings before and after it, up to 60 days apart."""
+    cols = ("site_data_id", "date", "mice_night")
+    both = table(spark, d, TRAPS, *cols).unionByName(table(spark, d, GRIDS, *cols)).where(F.col("date").between(F.lit(FIRST_DATE), F.lit(LAST_DATE)))
+    g = regular_grid.time_grid(both, ["site_data_id"], "date", "7 days", F.col("mice_night"), max_gap="60 days")
+    return g.select("site_data_id", F.col("grid_at").cast("timestamp_ntz").cast("date").alias("week"), "n_readings", F.round("value", 6).alias("mice"), F.datediff("next_at", "prev_at").alias("gap_days"), "status")
+
+
 # 4: schema drift -------------------------------------------------------------------------------------------
 
 
@@ -118,7 +126,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(zone.select(F.col("site_data_id").alias("first_id"), F.col("region").alias("ae_zone")), "first_id").select("first_id", "second_id", "ae_zone")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_grid, p4_found, p4_changes, p4_table, p5_found, p5_zones)}
+def p5_places(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different places at most 500 m apart, each named by its smallest id, with the number of paddocks at both."""
+    pairs, members = nearby.near_places(table(spark, d, "site_data", "site_data_id", "longitude", "latitude"), "site_data_id", "longitude", "latitude", NEAR_M, BOX)
+    n = members.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda side: n.select(F.col("place_id").alias(f"{side}_place"), F.col("n").alias(f"n_{side}"))
+    return pairs.join(at("first"), "first_place").join(at("second"), "second_place").select("first_place", "second_place", "n_first", "n_second", F.round("distance_m", 3).alias("distance_m"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_grid, p3_weeks, p4_found, p4_changes, p4_table, p5_found, p5_zones, p5_places)}
 
 # SQL for the queries that it can express over whole tables -------------------------------------------------
 
@@ -154,6 +170,15 @@ SQL = {
       SELECT site_data_id, CAST(step // 4 AS INTEGER) AS year_adj, {_NAME}, coalesce(n_readings, 0) AS n_readings, round(m, 6) AS mice_mean, prev_step, next_step, CASE WHEN n_readings IS NOT NULL THEN 'read' WHEN m IS NOT NULL THEN 'filled' ELSE 'gap' END AS status FROM v""",
     "p5_found": f"""WITH {_ZONES} SELECT a.id AS first_id, b.id AS second_id, z.ae_zone FROM p a JOIN p b ON a.id < b.id AND abs(a.y - b.y) < 0.005 AND abs(a.x - b.x) < 0.01
       AND 2 * 6371000 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 500 JOIN z ON z.id = a.id""",
+    "p5_places": """WITH p AS (SELECT longitude AS x, latitude AS y, min(site_data_id) AS id, count(*) AS n FROM site_data WHERE longitude BETWEEN 110 AND 155 AND latitude BETWEEN -45 AND -10 GROUP BY ALL),
+      j AS (SELECT a.id AS first_place, b.id AS second_place, a.n AS n_first, b.n AS n_second, 2 * 6371000 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) AS m FROM p a JOIN p b ON a.id < b.id AND abs(a.y - b.y) < 0.005 AND abs(a.x - b.x) < 0.01)
+      SELECT first_place, second_place, n_first, n_second, round(m, 3) AS distance_m FROM j WHERE m <= 500""",
+    "p3_weeks": """WITH r AS (SELECT site_data_id AS s, CAST(date - DATE '1970-01-01' AS BIGINT) AS t, avg(mice_night) AS v, count(*) AS k FROM (SELECT site_data_id, date, mice_night FROM data_monitoring_traps_clean UNION ALL SELECT site_data_id, date, mice_night FROM counts_grids_mallee)
+        WHERE date BETWEEN DATE '2008-12-01' AND DATE '2025-11-30' AND mice_night IS NOT NULL AND NOT isnan(mice_night) GROUP BY ALL),
+      g AS (SELECT s, unnest(generate_series((min(t) + 6) // 7, max(t) // 7)) * 7 AS g FROM r GROUP BY s),
+      p AS (SELECT g.s, g.g, r.t, r.v FROM g ASOF JOIN r ON g.s = r.s AND g.g >= r.t), n AS (SELECT g.s, g.g, r.t, r.v FROM g ASOF JOIN r ON g.s = r.s AND g.g <= r.t), c AS (SELECT s, t // 7 * 7 AS g, CAST(sum(k) AS BIGINT) AS k FROM r GROUP BY ALL)
+      SELECT p.s AS site_data_id, DATE '1970-01-01' + CAST(p.g AS INTEGER) AS week, coalesce(c.k, 0) AS n_readings, round(CASE WHEN p.t = n.t THEN p.v WHEN n.t - p.t <= 60 THEN p.v + (n.v - p.v) * (p.g - p.t) / (n.t - p.t) END, 6) AS mice, CAST(n.t - p.t AS INTEGER) AS gap_days,
+        CASE WHEN p.t = n.t THEN 'read' WHEN n.t - p.t <= 60 THEN 'filled' ELSE 'gap' END AS status FROM p JOIN n USING (s, g) LEFT JOIN c USING (s, g)""",
     "p5_zones": f"""WITH {_ZONES} SELECT z.id AS site_data_id, z.ae_zone, s.ae_zone AS stated_zone, coalesce(lower(trim(s.ae_zone, ' ')) = lower(z.ae_zone), false) AS agrees FROM z LEFT JOIN data_list_ae_exp_rain_soil s ON s.site_data_id = z.id""",
 }
 

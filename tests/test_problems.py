@@ -121,6 +121,41 @@ def test_regular_grid(spark) -> None:
     assert regular_grid.regular_grid(df.where("false"), ["src"], F.col("at"), F.col("v")).count() == 0
 
 
+def test_time_grid_against_brute_force_with_one_hot_source(spark) -> None:
+    rng = random.Random(6)
+    start = dt.datetime(2024, 5, 1)
+    data = [("hot" if i % 3 == 0 else f"s{rng.randrange(8)}", start + dt.timedelta(minutes=rng.randrange(6_000)), rng.choice([None, float("nan"), rng.random(), rng.random(), rng.random()])) for i in range(600)]
+    data += [("one", start + dt.timedelta(hours=2), 4.0), ("off", start + dt.timedelta(minutes=7), 4.0), (None, start, 1.0), (None, start + dt.timedelta(hours=3), 4.0), ("hot", None, 1.0), ("one", start + dt.timedelta(hours=2), 6.0)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "src string, at timestamp, v double, grid_at string")
+    got = {(r.src, r.grid_at): r for r in regular_grid.time_grid(df, ["src"], "at", "1 hour", F.col("v"), max_gap="5 hours").collect()}
+    want = {}
+    for src in {r[0] for r in data}:
+        by: dict = {}
+        for _, t, v in (r for r in data if r[0] == src and r[1] is not None and r[2] is not None and r[2] == r[2]):
+            by.setdefault(t, []).append(v)
+        times = sorted(by)
+        mean = {t: sum(v) / len(v) for t, v in by.items()}
+        for h in range(120):
+            g = start + dt.timedelta(hours=h)
+            before, after = [t for t in times if t <= g], [t for t in times if t >= g]
+            if before and after:
+                a, b = before[-1], after[0]
+                near = b - a <= dt.timedelta(hours=5)
+                value = mean[a] if a == b else mean[a] + (mean[b] - mean[a]) * ((g - a) / (b - a)) if near else None
+                want[src, g] = ("read" if a == b else "filled" if near else "gap", value, sum(len(v) for t, v in by.items() if g <= t < g + dt.timedelta(hours=1)), a, b)
+    assert set(got) == set(want) and ("one", start + dt.timedelta(hours=2)) in got and not any(k[0] == "off" for k in got)
+    for k, (status, value, n, a, b) in want.items():
+        r = got[k]
+        assert (r.status, r.n_readings, r.prev_at, r.next_at) == (status, n, a, b) and (r.value is None) == (value is None) and (value is None or abs(r.value - value) < 1e-9)
+    assert regular_grid.time_grid(df.where("false"), ["src"], "at", "1 hour", F.col("v")).count() == 0
+
+
+def test_places_stand_for_many_ids(spark) -> None:
+    df = spark.range(3_000).select(F.col("id").alias("pid"), F.when(F.col("id") % 3 == 0, 140.0).otherwise(140.001 + F.floor(F.col("id") / 1000) * 0.1).alias("x"), F.lit(-30.0).alias("y"))
+    pairs, members = nearby.near_places(df, "pid", "x", "y", 500.0, (110.0, 155.0, -45.0, -10.0))
+    assert [(r.first_place, r.second_place) for r in pairs.collect()] == [(0, 1)] and members.where("place_id = 0").count() == 1_000 and members.count() == 3_000
+
+
 @pytest.mark.parametrize(("text", "index"), [("DJF", 0), ("Dec-Feb", 0), ("Summ.", 0), ("Autum", 1), ("MAM", 1), ("Wintr", 2), ("Sprng", 3), ("SON", 3), ("", None), (None, None), ("monsoon", None)])
 def test_season_spellings(spark, text, index) -> None:
     assert spark.createDataFrame([(text,)], "s string").select(cal.parse_season(F.col("s")).alias("i")).head().i == index
