@@ -7,15 +7,25 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BATCH_CHARS = 2_000_000
 
 
+def _ship(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary file with the job if the driver has it, so that executors need no copy of their own."""
+    sc = df.sparkSession.sparkContext
+    if os.path.exists(path) and not any(str(f).endswith(f"/{os.path.basename(path)}") for f in sc.listFiles):
+        sc.addFile(path)
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
-    """One tokenizer for each Python worker; special tokens in a text are ordinary text."""
+    """One tokenizer for each Python worker, from the path or, where that is not, from the file sent with the job; special tokens in a text are ordinary text."""
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores are shared out by tasks
     from tokenizers import Tokenizer
 
@@ -70,6 +80,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_TOKENI
                     cols += [pa.array([[o[k] for o in e.offsets] for e in encoded], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "starts", "ends"][: len(cols)])
 
+    _ship(df, path)
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
     return df.select(id_col, text_col).mapInArrow(run, schema)
@@ -90,5 +101,6 @@ def decode(df: DataFrame, id_col: str, ids_col: str = "ids", path: str = DEFAULT
             texts = [None if ids is None else b"".join(vocab[i] for i in ids).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
+    _ship(df, path)
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
