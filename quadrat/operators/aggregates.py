@@ -166,3 +166,46 @@ def mean_session_rate(df: DataFrame, site: str, session: str, success: str, effo
     mean = lambda c: F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
     s = d.groupBy(site, session).agg(F.round(mean(night), 6).cast("decimal(18,6)").alias("__s"))
     return s.groupBy(site).agg(F.round(mean(F.col("__s")), 4).alias("mean_rate"))
+
+
+def headline(df: DataFrame, area: str, site: str, success: str, effort: str, start: str, end: str) -> DataFrame:
+    """One row: distinct areas and sites (case aside), successes, their share of the effort in per cent (0 without effort), and the first and last day."""
+    pct = F.when(F.sum(effort) > 0, 100 * F.sum(success) / F.sum(effort)).otherwise(0.0)
+    return df.agg(F.count_distinct(F.lower(area)).alias("n_regions"), F.count_distinct(F.lower(site)).alias("n_sites"), F.sum(success).alias("mice"), F.round(pct, 4).alias("pct"), F.min(start).alias("first_day"), F.max(end).alias("last_day"))
+
+
+def overview(df: DataFrame, keys: list[str], value: str, site: str, high: float) -> DataFrame:
+    """(keys, n_rows, traps, least, most, n_sites, any_high): sum and range of a value, distinct sites, and whether any value is above ``high``."""
+    x = F.col(value)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(x), 2).alias("traps"), F.round(F.min(x), 2).alias("least"), F.round(F.max(x), 2).alias("most"), F.count_distinct(site).alias("n_sites"), F.bool_or(x > high).alias("any_high"))
+
+
+def night_summary(df: DataFrame, night: list[str], keys: list[str], effort: str, catch: str) -> DataFrame:
+    """(keys, n_nights, trap_nights, captures, success_pct) from distinct nights, a night entered more than once counting with its largest values."""
+    n = df.groupBy(*night).agg(F.max(effort).alias("__t"), F.max(catch).alias("__m"))
+    pct = 100 * F.sum("__m") / F.nullif(F.sum("__t"), F.lit(0.0))
+    return n.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nights"), F.sum("__t").alias("trap_nights"), F.sum("__m").alias("captures"), F.round(pct, 4).alias("success_pct"))
+
+
+def level_of(x: Column, low: float, high: float, *, closed: bool = False) -> Column:
+    """'No data' for null, else Low below ``low`` (up to it if ``closed``), Moderate below ``high``, High from there on."""
+    under = (lambda c, v: c <= v) if closed else (lambda c, v: c < v)
+    return F.when(x.isNull(), "No data").when(under(x, low), "Low").when(under(x, high), "Moderate").otherwise("High")
+
+
+def area_report(df: DataFrame, area: str, site: str, count: str, low: float, high: float) -> DataFrame:
+    """(area, n_sites, n_surveys, pct_detected, level): surveys with a count, the share of them with any, and its level."""
+    z = df.groupBy(area).agg(F.count_distinct(site).alias("n_sites"), F.count(count).alias("n_surveys"), F.round(100.0 * F.count_if(F.col(count) > 0) / F.nullif(F.count(count), F.lit(0)), 4).alias("pct_detected"))
+    return z.withColumn("level", level_of(F.col("pct_detected"), low, high, closed=True))
+
+
+def mean_ratio(df: DataFrame, keys: list[str], success: str, effort: str, name: str) -> DataFrame:
+    """(keys, name): mean of the rows' ratios; rows without effort have none."""
+    return df.groupBy(*keys).agg(F.round(F.avg(F.col(success) / F.nullif(effort, F.lit(0.0))), 6).alias(name))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """``name``: the row's place in an order within the keys; the order says where nulls go and has to be total."""
+    from pyspark.sql import Window
+
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -45,3 +45,14 @@ def truncate_matching(df: DataFrame, pattern: str, *, keep: str | None = None) -
 
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def survey_covariates(trap: Column, latitude: Column, night: Column, *, standard: str = "longworth", weight: float = 1.0, other: float = 0.25, parallel: float = -30.0) -> dict[str, Column]:
+    """Columns of a model table: the weight of an observation by its trap, the side of a parallel (south without a latitude), and the method's name."""
+    lat = F.nanvl(latitude, F.lit(None).cast("double"))
+    return {"obs_weight": F.when(trap == standard, weight).otherwise(other), "north": F.when(lat > parallel, "north").otherwise("south"), "survey_method": F.concat(F.lit("traps_night"), night.cast("string"))}
+
+
+def burrow_methods(age: Column, *, old: str = "old") -> Column:
+    """Method of a burrow search by the crop it was made in: 'burrows_old' or 'burrows_young', null where the age is not known."""
+    return F.when(age == old, "burrows_old").when(age.isNotNull(), "burrows_young")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import calendar as cal
@@ -20,8 +20,8 @@ TRAPS, VISITS = "data_monitoring_traps_clean", "data_deduplicate_surveys_season"
 @R.add("""SELECT survey_id, CAST(row_number() OVER (PARTITION BY region ORDER BY traps_set ASC NULLS LAST, number_mice_caught DESC NULLS LAST, survey_id) AS INTEGER) AS place FROM data_deduplicate_surveys_season""")
 def arrange_rank(spark: SparkSession, d: str) -> DataFrame:
     """Place of each row in an order with nulls last."""
-    w = Window.partitionBy("region").orderBy(F.col("traps_set").asc_nulls_last(), F.col("number_mice_caught").desc_nulls_last(), "survey_id")
-    return table(spark, d, VISITS, "survey_id", "region", "traps_set", "number_mice_caught").select("survey_id", F.row_number().over(w).alias("place"))
+    v = table(spark, d, VISITS, "survey_id", "region", "traps_set", "number_mice_caught")
+    return agg.ranked(v, ["region"], [F.col("traps_set").asc_nulls_last(), F.col("number_mice_caught").desc_nulls_last(), F.col("survey_id")]).select("survey_id", "place")
 
 
 @R.add("""SELECT c_nationkey AS nation, strftime(session, '%Y-%m') AS month, session FROM (SELECT c_nationkey, CAST(o_orderdate AS DATE) AS session, sum(o_totalprice) AS e, count(*) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY nation, month ORDER BY round(e, 2) DESC NULLS LAST, s DESC NULLS LAST, session) = 1""")
@@ -77,15 +77,12 @@ def layer_alignment(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"""SELECT ae_zone, CAST(right(season_year_adj, 4) AS INTEGER) * 4 + CASE left(season_year_adj, 2) WHEN 'Su' THEN 0 WHEN 'Au' THEN 1 WHEN 'Wi' THEN 2 ELSE 3 END AS season_ord, round(avg(mice / nullif(traps, 0)), 6) AS observed FROM data_long WHERE traps BETWEEN 0 AND 100 GROUP BY ALL""")
 def observed_means(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "data_long", "ae_zone", cal.parse_label(F.col("season_year_adj")).alias("season_ord"), "mice", "traps").where("traps BETWEEN 0 AND 100")
-    return t.groupBy("ae_zone", "season_ord").agg(F.round(F.avg(F.col("mice") / F.nullif("traps", F.lit(0.0))), 6).alias("observed"))
+    return agg.mean_ratio(t, ["ae_zone", "season_ord"], "mice", "traps", "observed")
 
 
 @R.add("""WITH z AS (SELECT ae_zone, count(DISTINCT site_data_id) AS n_sites, count(mice) AS n_surveys, round(100.0::DOUBLE * count(*) FILTER (mice > 0) / nullif(count(mice), 0), 4) AS pct_detected FROM data_long GROUP BY 1) SELECT *, CASE WHEN pct_detected IS NULL THEN 'No data' WHEN pct_detected <= 5 THEN 'Low' WHEN pct_detected <= 25 THEN 'Moderate' ELSE 'High' END AS level FROM z""")
 def zone_report(spark: SparkSession, d: str) -> DataFrame:
-    z = table(spark, d, "data_long", "ae_zone", "site_data_id", "mice").groupBy("ae_zone")
-    z = z.agg(F.count_distinct("site_data_id").alias("n_sites"), F.count("mice").alias("n_surveys"), F.round(100.0 * F.count_if(F.col("mice") > 0) / F.nullif(F.count("mice"), F.lit(0)), 4).alias("pct_detected"))
-    p = F.col("pct_detected")
-    return z.withColumn("level", F.when(p.isNull(), "No data").when(p <= 5, "Low").when(p <= 25, "Moderate").otherwise("High"))
+    return agg.area_report(table(spark, d, "data_long", "ae_zone", "site_data_id", "mice"), "ae_zone", "site_data_id", "mice", 5, 25)
 
 
 _WIDE = ("l_quantity", "l_tax", "l_discount", "l_linenumber")

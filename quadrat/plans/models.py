@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import calendar as cal
-from quadrat.operators import forecast, nearby, quality, response, spatial
+from quadrat.operators import aggregates, forecast, nearby, quality, response, spatial
 from quadrat.plans.cleaning import ord_sql
 from quadrat.plans.registry import Registry
 from quadrat.plans.summaries import MONTHLY, monthly
@@ -70,16 +70,23 @@ def region_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.select("region", *[F.round(c, 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
-@R.add()
+@R.add(f"""SELECT site_data_id, 65 AS n_points, 10000.0::DOUBLE AS least_m, 10000.0::DOUBLE AS most_m FROM site_data WHERE {_OK}""")
 def site_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of 10 km around paddocks, with the least and the greatest distance of their points."""
     s = table(spark, d, "site_data", "site_data_id", "longitude", "latitude").where(nearby.in_box(F.col("longitude"), F.col("latitude"), BOX))
-    return spatial.buffers(s, "site_data_id", "longitude", "latitude", 10_000.0)
+    b = spatial.buffers(s, "site_data_id", "longitude", "latitude", 10_000.0).join(s, "site_data_id")
+    far = F.transform(F.arrays_zip("lons", "lats"), lambda p: nearby.haversine_m(F.col("longitude"), F.col("latitude"), p["lons"], p["lats"]))
+    return b.select("site_data_id", F.size("lons").alias("n_points"), F.round(F.array_min(far), 3).alias("least_m"), F.round(F.array_max(far), 3).alias("most_m"))
 
 
-@R.add()
+@R.add(f"""WITH p AS (SELECT DISTINCT region, longitude AS x, latitude AS y FROM site_data WHERE {_OK}), k AS (SELECT region, count(*) AS n FROM p GROUP BY 1),
+  e AS (SELECT a.region, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.region = b.region AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.region = a.region AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND NOT (c.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND c.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y))))))
+  SELECT region, CASE WHEN n = 1 THEN 1 ELSE CAST((SELECT count(*) FROM e WHERE e.region = k.region) AS INTEGER) END AS n_corners, round(coalesce((SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 FROM e WHERE e.region = k.region), 0), 6) AS area FROM k""")
 def region_hulls(spark: SparkSession, d: str) -> DataFrame:
+    """Corners and area, in square degrees, of the convex hull of each region's paddocks."""
     s = table(spark, d, "site_data", "region", "longitude", "latitude").where(nearby.in_box(F.col("longitude"), F.col("latitude"), BOX))
-    return spatial.convex_hulls(s, "region", "longitude", "latitude")
+    return spatial.convex_hulls(s, "region", "longitude", "latitude").select("region", "n_corners", F.round(spatial.ring_area("lons", "lats"), 6).alias("area"))
 
 
 _AREA = "abs(list_sum(list_transform(generate_series(1, len(lons) - 1), lambda i: lons[i] * lats[i + 1] - lons[i + 1] * lats[i]))) / 2"
@@ -127,11 +134,14 @@ def response_beta(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""SELECT record_id, CASE WHEN trap_type = 'longworth' THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS obs_weight, CASE WHEN lat > -30 THEN 'north' ELSE 'south' END AS north, coalesce(region, 'NA') || '_' || coalesce(farmer, 'NA') || '_' || site AS series, 'traps_night' || survey_night AS survey_method FROM (SELECT *, CASE WHEN isnan(latitude) THEN NULL ELSE latitude END AS lat FROM data_monitoring_traps_clean)""")
 def model_covariates(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, TRAPS, "record_id", "trap_type", "latitude", "region", "farmer", "site", "survey_night")
-    lat = F.nanvl(F.col("latitude"), F.lit(None).cast("double"))
-    return t.select(
-        "record_id", F.when(F.col("trap_type") == "longworth", 1.0).otherwise(0.25).alias("obs_weight"), F.when(lat > -30, "north").otherwise("south").alias("north"),
-        response.series_key(F.col("region"), F.col("farmer"), F.col("site")).alias("series"), F.concat(F.lit("traps_night"), F.col("survey_night").cast("string")).alias("survey_method"),
-    )
+    c = response.survey_covariates(F.col("trap_type"), F.col("latitude"), F.col("survey_night"))
+    return t.select("record_id", response.series_key(F.col("region"), F.col("farmer"), F.col("site")).alias("series"), *[v.alias(n) for n, v in c.items()])
+
+
+@R.add("""SELECT survey_id, CASE WHEN age = 'old' THEN 'burrows_old' WHEN age IS NOT NULL THEN 'burrows_young' END AS survey_method FROM (SELECT survey_id, CASE WHEN crop_stage IN ('ripe', 'harvested') THEN 'old' WHEN crop_stage IN ('seedling', 'sown') THEN 'young' END AS age FROM data_deduplicate_surveys_season)""")
+def burrow_methods(spark: SparkSession, d: str) -> DataFrame:
+    age = F.when(F.col("crop_stage").isin("ripe", "harvested"), "old").when(F.col("crop_stage").isin("seedling", "sown"), "young")
+    return table(spark, d, VISITS, "survey_id", "crop_stage").select("survey_id", response.burrow_methods(age).alias("survey_method"))
 
 
 @R.add("""SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_samp(o_totalprice) FROM orders), 6) AS z FROM orders""")
@@ -246,7 +256,7 @@ def effect_intervals(spark: SparkSession, d: str) -> DataFrame:
 def activity_level(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, TRAPS, "region", "mice_night", "crop_stage")
     s = t.groupBy("region").agg(F.greatest(F.max("mice_night"), F.max(F.when(F.col("crop_stage") == "ripe", F.col("mice_night")))).alias("top"))
-    return s.withColumn("level", F.when(F.col("top").isNull(), "No data").when(F.col("top") < 5, "Low").when(F.col("top") < 25, "Moderate").otherwise("High"))
+    return s.withColumn("level", aggregates.level_of(F.col("top"), 5, 25))
 
 
 @R.add("""WITH z AS (SELECT soil_type AS category, array_agg(DISTINCT z ORDER BY z) AS l FROM (SELECT soil_type, lower(ae_zone) AS z FROM data_list_ae_exp_rain_soil WHERE soil_type IS NOT NULL AND ae_zone IS NOT NULL AND precip_prev_0_6m > 300) GROUP BY 1)
@@ -320,8 +330,8 @@ def column_report(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""WITH n AS (SELECT site_data_id, trap_type, date, max(traps_night) AS t, max(mice_night) AS m FROM data_monitoring_traps_clean WHERE date IS NOT NULL GROUP BY ALL) SELECT trap_type, count(*) AS n_nights, CAST(sum(t) AS DOUBLE) AS trap_nights, CAST(sum(m) AS DOUBLE) AS captures, round(100 * sum(m) / nullif(sum(t), 0), 4) AS success_pct FROM n GROUP BY trap_type""")
 def trapping_summary(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, TRAPS, "site_data_id", "trap_type", "date", "traps_night", "mice_night").where("date IS NOT NULL").groupBy("site_data_id", "trap_type", "date").agg(F.max("traps_night").alias("t"), F.max("mice_night").alias("m"))
-    return n.groupBy("trap_type").agg(F.count(F.lit(1)).alias("n_nights"), F.sum("t").alias("trap_nights"), F.sum("m").alias("captures"), F.round(100 * F.sum("m") / F.nullif(F.sum("t"), F.lit(0.0)), 4).alias("success_pct"))
+    n = table(spark, d, TRAPS, "site_data_id", "trap_type", "date", "traps_night", "mice_night").where("date IS NOT NULL")
+    return aggregates.night_summary(n, ["site_data_id", "trap_type", "date"], ["trap_type"], "traps_night", "mice_night")
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -123,7 +123,7 @@ def hull_buffers(spark: SparkSession, d: str) -> DataFrame:
     return spatial.hull_buffers(s, "region", "longitude", "latitude", 40_000.0)
 
 
-@R.add()
+@R.add("""SELECT ae_zone, count(*) AS n_rings, count(*) FILTER (is_hole) AS n_holes, CAST(sum(len(lons)) AS BIGINT) AS n_points FROM ae_zones GROUP BY ae_zone""")
 def zone_scan(spark: SparkSession, d: str) -> DataFrame:
     """The zones written as a feature collection and scanned back."""
     folder = scratch(spark, "geojson")

@@ -30,8 +30,7 @@ MONTHLY = f"""m AS (SELECT nation, month, total, n, {ord_sql("month")} AS season
 
 @R.add("""SELECT region, sum(n) AS n_rows, round(sum(s), 2) AS traps, round(min(lo), 2) AS least, round(max(hi), 2) AS most, count(DISTINCT site) AS n_sites, bool_or(hi > 50) AS any_high FROM (SELECT region, site, count(*) AS n, sum(traps_set) AS s, min(traps_set) AS lo, max(traps_set) AS hi FROM data_monitoring_traps_clean GROUP BY ALL) GROUP BY region""".replace("sum(n) AS n_rows", "CAST(sum(n) AS BIGINT) AS n_rows"))
 def group_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, TRAPS, "region", "site", "traps_set")
-    return t.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("traps_set"), 2).alias("traps"), F.round(F.min("traps_set"), 2).alias("least"), F.round(F.max("traps_set"), 2).alias("most"), F.count_distinct("site").alias("n_sites"), F.bool_or(F.col("traps_set") > 50).alias("any_high"))
+    return agg.overview(table(spark, d, TRAPS, "region", "site", "traps_set"), ["region"], "traps_set", "site", 50)
 
 
 @R.add("""SELECT site, CASE WHEN count(traps_set) = count(*) THEN sum(traps_set) END AS s, round(CASE WHEN count(traps_set) = count(*) THEN avg(traps_set) END, 6) AS m, CASE WHEN count(traps_set) = count(*) THEN min(traps_set) END AS lo, CASE WHEN count(traps_set) = count(*) THEN max(traps_set) END AS hi FROM data_deduplicate_surveys_season GROUP BY site""")
@@ -139,8 +138,7 @@ def session_rates(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""SELECT count(DISTINCT lower(region)) AS n_regions, count(DISTINCT lower(site)) AS n_sites, CAST(sum(number_mice_caught) AS DOUBLE) AS mice, round(CASE WHEN sum(traps_set) > 0 THEN 100 * sum(number_mice_caught) / sum(traps_set) ELSE 0 END, 4) AS pct, min(session_start_date) AS first_day, max(session_end_date) AS last_day FROM data_deduplicate_surveys_season""")
 def headline_stats(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, VISITS, "region", "site", "number_mice_caught", "traps_set", "session_start_date", "session_end_date")
-    pct = F.when(F.sum("traps_set") > 0, 100 * F.sum("number_mice_caught") / F.sum("traps_set")).otherwise(0.0)
-    return v.agg(F.count_distinct(F.lower("region")).alias("n_regions"), F.count_distinct(F.lower("site")).alias("n_sites"), F.sum("number_mice_caught").alias("mice"), F.round(pct, 4).alias("pct"), F.min("session_start_date").alias("first_day"), F.max("session_end_date").alias("last_day"))
+    return agg.headline(v, "region", "site", "number_mice_caught", "traps_set", "session_start_date", "session_end_date")
 
 
 @R.add("""SELECT user_id, string_agg(event_type, ' -> ' ORDER BY t) AS trail, string_agg(event_type, ' & ' ORDER BY event_type) AS labels FROM (SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY ALL) GROUP BY user_id""")
