@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.operators.nearby import EARTH_M, haversine_m
+from quadrat.operators.nearby import EARTH_M, haversine_m, polygon_edges
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -284,3 +284,30 @@ def hull_buffers(points: DataFrame, key: str, lon: str, lat: str, metres: float,
             yield pd.DataFrame(rows, columns=[key, "lons", "lats", "area_km2", "centre_lon", "centre_lat"])
 
     return convex_hulls(points, key, lon, lat).mapInPandas(run, f"`{key}` {kind}, lons array<double>, lats array<double>, area_km2 double, centre_lon double, centre_lat double")
+
+
+def polygon_cells(rings: DataFrame, region: str, piece: str, cell: float, lons: str = "lons", lats: str = "lats") -> DataFrame:
+    """(region, row, col): the grid cells, counted from 0 degrees, whose centre a region's polygons hold; holes are left out.
+
+    Row by row: the crossings of a piece's edges with the middle of a row, in order, bound the runs of cells between them. What meets
+    for a row is its crossings; a region's cells are as many as its area has.
+    """
+    e = polygon_edges(rings, region, piece, lons, lats)
+    lo, hi = F.ceil(F.least("y1", "y2") / cell - 0.5), F.ceil(F.greatest("y1", "y2") / cell - 0.5) - 1
+    e = e.where(lo <= hi).select("*", F.explode(F.sequence(lo, hi)).alias("row"))
+    at = F.col("x1") + ((F.col("row") + 0.5) * cell - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    runs = e.select("region", "piece", "row", at.alias("x")).groupBy("region", "piece", "row").agg(F.array_sort(F.collect_list("x")).alias("_x"))
+    pair = F.explode(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2))).alias("_i")
+    runs = runs.where(F.size("_x") > 1).select("region", "row", pair, "_x").select("region", "row", F.ceil(F.get("_x", F.col("_i")) / cell - 0.5).alias("a"), (F.ceil(F.get("_x", F.col("_i") + 1) / cell - 0.5) - 1).alias("b"))
+    return runs.where("a <= b").select(F.col("region").alias(region), "row", F.explode(F.sequence("a", "b")).alias("col")).distinct()
+
+
+def overlay(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Cells (row, col) of two layers: 'intersection' with the other columns of both, 'union' of the bare cells, or 'difference', those of ``a`` that ``b`` lacks."""
+    if how == "intersection":
+        return a.join(b, ["row", "col"])
+    if how == "union":
+        return a.select("row", "col").unionByName(b.select("row", "col")).distinct()
+    if how == "difference":
+        return a.join(b.select("row", "col").distinct(), ["row", "col"], "left_anti")
+    raise ValueError(f"unknown overlay {how}")

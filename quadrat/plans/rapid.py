@@ -116,6 +116,24 @@ def merged_zones(spark: SparkSession, d: str) -> DataFrame:
     return z.groupBy(zone.alias("zone")).agg(F.count(F.lit(1)).alias("n_rings"), F.count_distinct("ae_zone", "piece_no").alias("n_pieces"))
 
 
+_GRID_CELLS = """e AS (SELECT ae_zone, piece_no, lons[i] AS x1, lats[i] AS y1, lons[i + 1] AS x2, lats[i + 1] AS y2 FROM (SELECT ae_zone, piece_no, lons, lats, unnest(generate_series(1, len(lons) - 1)) AS i FROM ae_zones)),
+  r AS (SELECT ae_zone, piece_no, (v + 0.5) * 0.25 AS y, v AS row, x1 + ((v + 0.5) * 0.25 - y1) / (y2 - y1) * (x2 - x1) AS x FROM e, (SELECT unnest(generate_series(-180, -40)) AS v) WHERE (y1 > (v + 0.5) * 0.25) <> (y2 > (v + 0.5) * 0.25)),
+  c AS (SELECT ae_zone, row, u AS col FROM r, (SELECT unnest(generate_series(440, 620)) AS u) WHERE x > (u + 0.5) * 0.25 GROUP BY ae_zone, piece_no, row, u HAVING count(*) % 2 = 1),
+  s AS (SELECT DISTINCT region, CAST(floor(latitude / 0.25) AS BIGINT) AS row, CAST(floor(longitude / 0.25) AS BIGINT) AS col FROM site_data WHERE longitude BETWEEN 110 AND 155 AND latitude BETWEEN -45 AND -10)"""
+
+
+@R.add(f"""WITH {_GRID_CELLS}, d AS (SELECT DISTINCT * FROM c) SELECT 'intersection' AS how, ae_zone || ' in ' || region AS part, count(*) AS n_cells FROM d JOIN s USING (row, col) GROUP BY ALL UNION ALL SELECT 'difference', ae_zone, count(*) FROM d ANTI JOIN s USING (row, col) GROUP BY ALL
+  UNION ALL SELECT 'union', 'all', count(*) FROM (SELECT row, col FROM d UNION SELECT row, col FROM s)""")
+def zone_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Zones split by the cells in which a region has paddocks: what they share, what is left of the zones, and both together."""
+    z = spatial.polygon_cells(table(spark, d, "ae_zones"), "ae_zone", "piece_no", 0.25)
+    at = table(spark, d, "site_data", "region", "longitude", "latitude").where("longitude BETWEEN 110 AND 155 AND latitude BETWEEN -45 AND -10")
+    s = at.select("region", F.floor(F.col("latitude") / 0.25).alias("row"), F.floor(F.col("longitude") / 0.25).alias("col")).distinct()
+    part = lambda df, how, name: df.groupBy(F.lit(how).alias("how"), name.alias("part")).agg(F.count(F.lit(1)).alias("n_cells"))
+    both = part(spatial.overlay(z, s, "intersection"), "intersection", F.concat("ae_zone", F.lit(" in "), "region"))
+    return both.unionByName(part(spatial.overlay(z, s, "difference"), "difference", F.col("ae_zone"))).unionByName(part(spatial.overlay(z, s, "union"), "union", F.lit("all")))
+
+
 @R.add()
 def hull_buffers(spark: SparkSession, d: str) -> DataFrame:
     """Hull of each region's paddocks widened by 40 km, with its area and centre."""

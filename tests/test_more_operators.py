@@ -174,3 +174,16 @@ def test_forecasts_go_past_the_last_step_and_are_saved(spark, tmp_path) -> None:
     s = sampler.save_model(make(), str(tmp_path / "model"), "s").collect()
     assert {(r.s, r.n_draws, r.n_times) for r in s} == {("a", 20, 14), ("b", 20, 14), ("c", 20, 3)} and spark.read.parquet(str(tmp_path / "model" / "draws")).count() == len(one)
     assert sampler.beta_forecast(df.where("false"), "s", "t", "v", ["x"], draws=5, burn=5).count() == 0
+
+
+def test_cells_of_polygons_and_their_overlay(spark) -> None:
+    sq = lambda a, b: ([a, b, b, a, a], [a, a, b, b, a])
+    rings = spark.createDataFrame([("A", 1, *sq(0.0, 10.0)), ("A", 1, *sq(4.0, 6.0)), ("B", 1, *sq(5.0, 7.0)), ("T", 1, [0.0, 4.0, 0.0, 0.0], [0.0, 0.0, 4.0, 0.0])], "zone string, piece int, lons array<double>, lats array<double>")
+    cells = spatial.polygon_cells(rings, "zone", "piece", 1.0)
+    n = {r.zone: r["count"] for r in cells.groupBy("zone").count().collect()}
+    assert n == {"A": 96, "B": 4, "T": 6}
+    a, b = cells.where("zone = 'A'"), cells.where("zone = 'B'").withColumnRenamed("zone", "other")
+    assert (spatial.overlay(a, b, "intersection").count(), spatial.overlay(a, b, "union").count(), spatial.overlay(a, b, "difference").count()) == (3, 97, 93)
+    assert spatial.polygon_cells(rings.where("false"), "zone", "piece", 1.0).count() == 0
+    with pytest.raises(ValueError, match="unknown"):
+        spatial.overlay(a, b, "xor")
