@@ -1,7 +1,8 @@
 """Mapping freely typed values to a reference list by a partition-based pigeonhole join, in SQL.
 
 A reference string cut into k + 1 segments keeps at least one segment unharmed by k edits, and that
-segment then stands in the typed value at most k places from where it was. So typed values and
+segment then stands in the typed value near to where it was: with i segments before it and k - i behind it, some unharmed one
+is no more than i places off counted from the start, and no more than k - i counted from the end. So typed values and
 references meet in an equality join on (field, length, segment number, substring), and only what meets
 is verified with levenshtein. Typed values are reduced to distinct spellings first, so the join runs over
 the vocabulary and not over the rows; the rows are mapped by an equality join afterwards.
@@ -140,13 +141,15 @@ def _map(spark: SparkSession, forms: DataFrame, terms: DataFrame, edits: str) ->
       cuts AS (
         SELECT field, ref_id, tight, n, k, seg, floor(seg * n / (k + 1)) AS at, floor((seg + 1) * n / (k + 1)) - floor(seg * n / (k + 1)) AS len
         FROM (SELECT *, explode(sequence(0, k)) AS seg FROM sized WHERE k > 1)),
-      segments AS (SELECT DISTINCT field, ref_id, tight, n, k, cast(at AS int) AS at, cast(len AS int) AS len, substring(tight, cast(at AS int) + 1, cast(len AS int)) AS piece FROM cuts),
-      shapes AS (SELECT DISTINCT field, n, at, len, k FROM segments),
+      segments AS (SELECT DISTINCT field, ref_id, tight, n, k, seg, cast(at AS int) AS at, cast(len AS int) AS len, substring(tight, cast(at AS int) + 1, cast(len AS int)) AS piece FROM cuts),
+      shapes AS (SELECT DISTINCT field, n, at, len, k, seg FROM segments),
+      windows AS (
+        SELECT r.field, r.value, r.tight, r.dropped, h.n, h.at, h.len, h.k,
+          greatest(0, h.at - h.seg, h.at + length(r.tight) - h.n - (h.k - h.seg)) AS lo, least(h.at + h.seg, h.at + length(r.tight) - h.n + (h.k - h.seg), length(r.tight) - h.len) AS hi
+        FROM rest r JOIN shapes h ON r.field = h.field AND abs(length(r.tight) - h.n) <= h.k),
       probes AS (
-        SELECT DISTINCT r.field, r.value, r.tight, r.dropped, h.n, h.at, h.len, h.k, substring(r.tight, p + 1, h.len) AS piece
-        FROM rest r JOIN shapes h ON r.field = h.field AND abs(length(r.tight) - h.n) <= h.k
-        LATERAL VIEW explode(sequence(greatest(0, h.at - h.k), h.at + h.k)) x AS p
-        WHERE p + h.len <= length(r.tight)),
+        SELECT DISTINCT field, value, tight, dropped, n, at, len, k, substring(tight, p + 1, len) AS piece
+        FROM (SELECT * FROM windows WHERE lo <= hi) LATERAL VIEW explode(sequence(lo, hi)) x AS p),
       near AS (
         SELECT p.field, p.value, min(named_struct('d', levenshtein(p.tight, s.tight), 'dropped', p.dropped, 'n', -length(s.tight), 'ref_id', s.ref_id)) AS m
         FROM probes p JOIN segments s ON p.field = s.field AND p.n = s.n AND p.at = s.at AND p.len = s.len AND p.k = s.k AND p.piece = s.piece
