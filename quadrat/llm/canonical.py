@@ -99,13 +99,14 @@ def learn_terms(spark: SparkSession, rows: DataFrame, reference: DataFrame, mapp
     stand beside its canonical value, so that a rare slip in the contexts of a value that means nothing listed
     teaches nothing. Contexts count once, however many rows they have; of one no more is kept than its entries and forms.
     """
+    lookup = run_sql(spark, """
+      SELECT field, value, ref_id, true AS free, cast(null AS string) AS form FROM :mapped: WHERE ref_id <> 0 AND distance = 0
+      UNION ALL SELECT field, canonical, ref_id, false, null FROM :reference:
+      UNION ALL SELECT f.field, f.value, null, null, max_by(f.tight, struct(f.dropped, f.tight)) FROM :forms: f JOIN :mapped: m ON f.field = m.field AND f.value = m.value WHERE m.ref_id = 0 AND f.tight <> '' GROUP BY f.field, f.value""", mapped=mapped, reference=reference, forms=forms)
     return run_sql(spark, f"""
-      WITH known AS (SELECT field, value, ref_id, true AS free FROM :mapped: WHERE ref_id <> 0 AND distance = 0 UNION ALL SELECT field, canonical, ref_id, false FROM :reference:),
-      loose AS (SELECT f.field, f.value, max_by(f.tight, struct(f.dropped, f.tight)) AS form FROM :forms: f JOIN :mapped: m ON f.field = m.field AND f.value = m.value WHERE m.ref_id = 0 AND f.tight <> '' GROUP BY f.field, f.value),
-      said AS (
-        SELECT r.field, r.context, k.ref_id, l.form, max(NOT k.free) AS canonical, max(k.free) AS free
-        FROM :rows: r LEFT JOIN known k ON r.field = k.field AND r.value = k.value LEFT JOIN loose l ON r.field = l.field AND r.value = l.value
-        WHERE k.ref_id IS NOT NULL OR l.form IS NOT NULL GROUP BY r.field, r.context, k.ref_id, l.form),
+      WITH said AS (
+        SELECT r.field, r.context, l.ref_id, l.form, max(NOT l.free) AS canonical, max(l.free) AS free
+        FROM :rows: r JOIN :lookup: l ON r.field = l.field AND r.value = l.value GROUP BY r.field, r.context, l.ref_id, l.form),
       entries AS (SELECT field, context, ref_id, canonical, free FROM said WHERE ref_id IS NOT NULL),
       open AS (SELECT field, context, form FROM said WHERE form IS NOT NULL),
       usual AS (SELECT field, count_if(canonical AND free) / count_if(free) AS rate FROM entries GROUP BY field),
@@ -113,7 +114,7 @@ def learn_terms(spark: SparkSession, rows: DataFrame, reference: DataFrame, mapp
       pairs AS (SELECT o.field, o.form, e.ref_id, count(*) AS n FROM open o JOIN entries e ON o.field = e.field AND o.context = e.context GROUP BY o.field, o.form, e.ref_id),
       best AS (SELECT field, form, max_by(ref_id, struct(n, -ref_id)) AS ref_id, max(n) AS n, sum(n) AS n_all FROM pairs GROUP BY field, form)
       SELECT b.field, b.form AS term, b.ref_id FROM best b JOIN seen s ON b.field = s.field AND b.form = s.form JOIN usual u ON b.field = u.field
-      WHERE b.n >= {LEAST_CONTEXTS} AND b.n >= {LEAST_SHARE} * b.n_all AND b.n >= {LEAST_RATE} * u.rate * s.n""", rows=rows, reference=reference, mapped=mapped, forms=forms)
+      WHERE b.n >= {LEAST_CONTEXTS} AND b.n >= {LEAST_SHARE} * b.n_all AND b.n >= {LEAST_RATE} * u.rate * s.n""", rows=rows, lookup=cut(lookup))
 
 
 def map_values(spark: SparkSession, values: DataFrame, reference: DataFrame, *, terms: DataFrame | None = None, fillers: DataFrame | None = None, edits: str = max_edits_sql("length(tight)")) -> DataFrame:
@@ -177,4 +178,4 @@ def map_entries(spark: SparkSession, rows: DataFrame, reference: DataFrame, *, t
     learned = cut(learn_terms(spark, rows.where("context IS NOT NULL"), reference, first, forms))
     left = run_sql(spark, "SELECT f.* FROM :forms: f LEFT SEMI JOIN :m: m ON f.field = m.field AND f.value = m.value AND m.ref_id = 0", forms=forms, m=first)
     again = _map(spark, left, run_sql(spark, "SELECT field, min(ref_id) AS ref_id, term, term AS tight FROM :t: GROUP BY field, term", t=learned), edits)
-    return run_sql(spark, "SELECT *, 'spelling' AS rule FROM :a: WHERE ref_id <> 0 UNION ALL SELECT *, CASE WHEN ref_id = 0 THEN 'unmatched' ELSE 'context' END FROM :b:", a=first, b=again)
+    return cut(run_sql(spark, "SELECT *, 'spelling' AS rule FROM :a: WHERE ref_id <> 0 UNION ALL SELECT *, CASE WHEN ref_id = 0 THEN 'unmatched' ELSE 'context' END FROM :b:", a=first, b=again))
