@@ -6,6 +6,7 @@ splines, and priors as a parameter. Draws have the form that the draw summaries
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,9 +89,10 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _log_likelihood(y: np.ndarray, seen: np.ndarray, eta: np.ndarray, phi: float) -> float:
-    mu = np.clip(1 / (1 + np.exp(-np.clip(eta[seen], -30, 30))), 1e-6, 1 - 1e-6)
-    a, b, v = mu * phi, (1 - mu) * phi, y[seen]
-    return float(np.sum(_log_gamma(np.array([phi]))[0] - _log_gamma(a) - _log_gamma(b) + (a - 1) * np.log(v) + (b - 1) * np.log1p(-v)))
+    """Of the seen shares under a beta distribution with mean logistic(eta) and precision phi; ``y`` holds their logarithms, then those of what they lack to 1."""
+    e = np.exp(-np.clip(eta[seen], -13.8, 13.8))
+    shape = np.concatenate([1 / (1 + e), e / (1 + e)]) * phi
+    return len(e) * math.lgamma(phi) - float(np.sum(_log_gamma(shape)) - np.dot(shape - 1, y))
 
 
 def _memory(n: int, ar1: float) -> np.ndarray:
@@ -112,7 +114,8 @@ def fit_beta_series(y: np.ndarray, x: np.ndarray, draws: int, burn: int, seed: i
     n, k = len(y), x.shape[1]
     x = np.nan_to_num(x)
     seen = ~np.isnan(y)
-    y = np.clip(y, 0.001, 0.999)
+    y = np.clip(y[seen], 0.001, 0.999)
+    y = np.concatenate([np.log(y), np.log1p(-y)])
     scale = np.concatenate([np.ones(n), [priors.mean[1]], np.full(k, priors.beta_sd)])
     state = rng.normal(size=n + 1 + k) * 0.1  # in units of the priors' deviations
     theta, step = np.array([np.log(priors.phi[0] / priors.phi[1]), priors.ar1[0], np.log(priors.sigma[1])]), np.array([0.3, 0.2, 0.3])
