@@ -91,9 +91,8 @@ def lag_effects(effects: DataFrame, keys: list[str], lag: str, estimate: str, er
 
 def lag_grid(lags: DataFrame, lag: str, template: DataFrame, column: str, values: list[float]) -> DataFrame:
     """Every lag with every listed value of a column on one row of template columns: a grid for predictions, as long as lags times values."""
-    base = template.drop(lag, column).limit(1)
-    grid = lags.select(lag).distinct().select(lag, F.explode(F.lit([float(v) for v in values])).alias(column))
-    return grid.join(F.broadcast(base))  # one row
+    base = template.drop(lag, column).limit(1).select(F.struct("*").alias("b")).scalar()
+    return lags.select(lag).distinct().select(lag, F.explode(F.lit([float(v) for v in values])).alias(column), base.alias("__b")).select(lag, column, "__b.*")
 
 
 def _sentence(names: Column, before: str, after: str, none: str) -> Column:
