@@ -75,7 +75,7 @@ def _bits(hashes: np.ndarray, field: np.ndarray, bits: int) -> np.ndarray:
 
 def _field(rows: DataFrame, hash_col: str, bits: int) -> np.ndarray:
     """The bits of a column of hashes; no more places than the field has come to the driver."""
-    places = rows.select(F.shiftrightunsigned(F.col(hash_col), 64 - bits).alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)
+    places = rows.select(F.shiftrightunsigned(F.col(hash_col), 64 - bits).alias("p")).distinct().toArrow()["p"].to_numpy()
     flat = np.zeros(1 << bits, np.uint8)
     flat[places] = 1
     return np.packbits(flat, bitorder="little")
