@@ -222,6 +222,12 @@ def test_lost_bytes_are_filled_by_words_that_agree_with_every_known_character(sp
     assert (got[len(clean) + 7].n_restored, got[len(clean) + 7].n_lost) == (0, 1)
 
 
+def test_a_word_garbled_in_another_way_is_no_better_witness(spark) -> None:
+    texts = ["Für alle", "F├╝r alle", damaged("Für", "cp1251") + " andere"]
+    got = restored(spark, texts)
+    assert got[1].restored_text == "Für alle"
+
+
 @pytest.mark.parametrize("rounds", [2, 4, 5])
 def test_text_garbled_many_times(spark, rounds) -> None:
     text = "Übergröße für 7 Mäuse"
