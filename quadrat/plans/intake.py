@@ -46,10 +46,9 @@ def csv_discovery(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def jdbc_fetch(spark: SparkSession, d: str) -> DataFrame:
-    """A table written to a database inside the driver, for want of one, and read back in ranges of its key."""
-    url, driver = "jdbc:derby:memory:quadrat;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    cols = ("n_nationkey", "n_name", "n_regionkey")
-    table(spark, d, "nation", *cols).write.mode("overwrite").jdbc(url, "nation_copy", properties=driver)
+    """A table put into a database that goes with the job, for want of a server, and read back by the executors in ranges of its key."""
+    cols, driver = ("n_nationkey", "n_name", "n_regionkey"), {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = files.packed_database(spark, table(spark, d, "nation", *cols), "nation_copy")
     return files.read_jdbc(spark, url, "nation_copy", "n_nationkey", (0, 25), 4, options=driver).select(*cols)
 
 
