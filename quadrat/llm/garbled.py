@@ -48,7 +48,6 @@ PAGE, ODD, NEVER = math.log(8.0), 12.0, 1_000.0
 UNSEEN = 1e-6  # frequency of a word that the corpus lacks
 BEST = 6  # paths that the search keeps at each place of the lattice
 STRETCH = 2_000
-WORD = 40
 _RUN = re.compile("[^\x00-\x7f]+")
 
 
@@ -256,28 +255,50 @@ def readings(word: str, best: int = BEST) -> list[tuple[str, str, str, float]]:
     return list({(k, t): (k, p, t, c) for k, p, t, c in reversed(found)}.values())
 
 
-def open_pattern(text: str) -> tuple[str, str]:
-    """(key, regular expression) under which a text with lost bytes meets the words it may have been.
+def open_pattern(text: str) -> tuple[str, str, int, int, str, int, int]:
+    """(form, way, a, b, key, low, high) under which a text with lost bytes meets every word it may have been.
 
-    The key has one U+FFFD for the lost bytes if they stand together, else one for each run beyond ASCII. The expression
-    holds every known character; n lost bytes are n to n / 4 characters beyond ASCII.
+    n lost bytes are n / 4 to n characters beyond ASCII, so a word has from low to high characters, and its form, in which each
+    run beyond ASCII is one U+FFFD, is that of the text. With lost bytes in one place (way 'one') a word of that form and size agrees if
+    its first a and last b characters do, which are the key; a word has no character of ASCII but those. With several places
+    the key is those ends ('ends'), or the longest known piece between lost bytes if it has more characters (a of them, 'inner'), and ``agrees`` decides.
     """
-    runs = [m.group() for m in re.finditer(LOST + "+", text)]
-    key = re.sub(LOST + "+" if len(runs) == 1 else "[^\x00-\x7f]+", LOST, text)
-    known = re.split(LOST + "+", text)
-    wild = [rf"[^\x00-\x7F]{{{(len(r) + 3) // 4},{len(r)}}}" for r in runs] + [""]
-    return key, "^" + "".join((f"\\Q{k}\\E" if k else "") + w for k, w in zip(known, wild)) + "$"
+    known, runs = _pieces(text)
+    inner = max(known[1:-1], key=len, default="")
+    a, b, least = len(known[0]), len(known[-1]), sum(map(len, known))
+    size = (least + sum((r + 3) // 4 for r in runs), least + sum(runs))
+    if len(inner) > a + b:
+        return _RUN.sub(LOST, text), "inner", len(inner), 0, inner, *size
+    return _RUN.sub(LOST, text), "one" if len(runs) == 1 else "ends", a, b, known[0] + LOST + known[-1], *size
 
 
-def word_keys(word: str) -> list[str]:
-    """The keys under which open_pattern may look for a word: one to four characters beyond ASCII in a row lost, or all runs of them if the word has ASCII letters.
+def _pieces(text: str) -> tuple[list[str], list[int]]:
+    """The known pieces of a text and the numbers of lost bytes between them."""
+    return re.split(LOST + "+", text), [len(m.group()) for m in re.finditer(LOST + "+", text)]
 
-    What has more than WORD characters is a passage without spaces and no word: it fills no gap.
-    """
-    if len(word) > WORD:
-        return []
-    keys = {word[:i] + LOST + word[j:] for m in _RUN.finditer(word) for i in range(m.start(), m.end()) for j in range(i + 1, min(i + 4, m.end()) + 1)}
-    return sorted(keys | ({_RUN.sub(LOST, word)} if re.search("[A-Za-z]", word) else set()))
+
+def agrees(text: str, word: str) -> bool:
+    """Whether a word of the form of a text with lost bytes has all its known pieces with so many characters between them as the bytes may have been."""
+    known, runs = _pieces(text)
+    if not word.startswith(known[0]):
+        return False
+    at, bits = len(known[0]), 1  # a piece may begin at the place ``at`` + i for each bit i
+    for no, (lost, piece) in enumerate(zip(runs, known[1:]), 1):
+        at += (lost + 3) // 4
+        more, width = lost - (lost + 3) // 4, 1
+        while more:
+            step = min(more, width)
+            bits |= bits << step
+            more, width = more - step, width + step
+        if no == len(runs):
+            end = len(word) - len(piece) - at
+            return end >= 0 and bool(bits >> end & 1) and word.endswith(piece)
+        bits &= (1 << max(0, len(word) - at + 1)) - 1
+        bits = sum(1 << i for i in range(bits.bit_length()) if bits >> i & 1 and word.startswith(piece, at + i))
+        if not bits:
+            return False
+        at += len(piece)
+    return text == word
 
 
 # One part of a text: a word with a digit on each side, if there is one; a digit; or other ASCII characters.
@@ -327,9 +348,10 @@ def damaged_tokens(words: DataFrame) -> DataFrame:
     reading always counts, a weak one if the corpus has it as often as the word, and one in another page if the
     corpus has it 8 times as often; both if the corpus has it at all where the word has characters in odd places and the reading has none.
     Equal costs go to UTF-8, then to the likelier page, then by name. Words with U+FFFD are always garbled, also if it stands alone;
-    if the corpus has no word that agrees with all their known characters, or if bytes are lost in several places of a
-    word without letters of ASCII and none agrees, their original is unknown.
+    if the corpus has no word that agrees with all their known characters, their original is unknown. Words of any length
+    and any number of lost bytes, in any number of places, are looked for.
     """
+    place = ["form", "way", "a", "b", "key", "low", "high"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -337,13 +359,12 @@ def damaged_tokens(words: DataFrame) -> DataFrame:
             for t, n in zip(b["token"], b["n"]):
                 some = readings(t)
                 sure = any(c < -NEVER / 2 for _, _, _, c in some)
-                rows.append((t, n, "", "", t, 0.0, sure, None, None))
+                rows.append((t, n, "", "", t, 0.0, sure, *[None] * len(place)))
                 for kind, page, text, cost in some:
-                    key, rule = open_pattern(text) if LOST in text else (None, None)
-                    rows.append((t, n, kind, page, text, cost, sure, key, rule))
-            yield pd.DataFrame(rows, columns=["token", "n", "kind", "page", "text", "cost", "sure", "key", "rule"])
+                    rows.append((t, n, kind, page, text, cost, sure, *(open_pattern(text) if LOST in text else [None] * len(place))))
+            yield pd.DataFrame(rows, columns=["token", "n", "kind", "page", "text", "cost", "sure", *place])
 
-    schema = "token string, n long, kind string, page string, text string, cost double, sure boolean, key string, rule string"
+    schema = "token string, n long, kind string, page string, text string, cost double, sure boolean, form string, way string, a int, b int, key string, low int, high int"
     found = cut(words.mapInPandas(run, schema))  # the words are searched once
     clean = found.where("kind = '' AND NOT sure").select("token", "n")
     known = clean.select(F.col("token").alias("text"), F.col("n").alias("n_text"))
@@ -352,14 +373,32 @@ def damaged_tokens(words: DataFrame) -> DataFrame:
     total = F.col("cost") + misplaced - F.log(F.greatest(F.col("n_text").cast("double"), F.lit(UNSEEN)))
     whole = whole.withColumn("total", total).where(F.col("total") <= -F.log(F.col("n").cast("double")))
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    wanted = found.where("key IS NOT NULL").select("token", "n", "kind", "page", "cost", "text", *place)
+    form = F.regexp_replace("token", r"[^\x00-\x7F]+", LOST)
+    fillers = clean.withColumn("form", form).join(wanted.select("form").distinct(), "form", "left_semi").join(whole.select("token").distinct(), "token", "left_anti")
+    sound = cut(fillers.select("form", F.length("token").alias("size"), F.col("token").alias("restored"), F.col("n").alias("n_text")))  # words that may fill a gap; read several times
+    # the ends or pieces by which words of a form and size are wanted: a word has those keys only
+    sizes = sound.select("form", "size").distinct()
+    asked = wanted.select("form", "way", "a", "b", "low", "high").distinct().join(sizes, "form").where("size BETWEEN low AND high").select("form", "size", "way", "a", "b").distinct()
+    ends = F.concat(F.left("restored", F.col("a")), F.lit(LOST), F.right("restored", F.col("b")))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("a") + 1), lambda i: F.substring("restored", i, F.col("a"))))
+    top = F.min(F.struct((-F.col("n_text")).alias("less"), "restored")).alias("t")  # of words that agree alike: the commonest, then by name
+    # one place: all words of a key agree, so one of each size stands for them; where nothing is known, it does before any join
+    by_ends = sound.join(asked.where("way = 'one' AND a + b > 0"), ["form", "size"]).withColumn("key", ends)
+    by_ends = by_ends.join(wanted.where("way = 'one'").select("form", "a", "b", "key").distinct(), ["form", "a", "b", "key"], "left_semi").groupBy("form", "a", "b", "key", "size").agg(top)
+    bare = sound.where(F.col("form") == LOST).groupBy("form", "size").agg(top).withColumns({"a": F.lit(0), "b": F.lit(0), "key": F.lit(LOST)})
+    single = wanted.where("way = 'one'").join(by_ends.unionByName(bare), ["form", "a", "b", "key"]).where("size BETWEEN low AND high")
+    single = single.select("token", "n", "kind", "page", "cost", F.col("t.restored").alias("restored"), (-F.col("t.less")).alias("n_text"))
+    # several places: words that have the key are compared
+    met = sound.join(asked.where("way <> 'one'"), ["form", "size"]).withColumn("key", F.explode(F.when(F.col("way") == "inner", pieces).otherwise(F.array(ends))))
+    met = wanted.where("way <> 'one'").join(met, ["form", "way", "a", "b", "key"]).where("size BETWEEN low AND high").select("token", "n", "kind", "page", "cost", "text", "restored", "n_text")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, t, n) for t, n in zip(b["token"], b["n"]) for k in word_keys(t)], columns=["key", "restored", "n_text"])
+            yield b[pd.Series([agrees(t, w) for t, w in zip(b["text"], b["restored"])], index=b.index, dtype=bool)].drop(columns="text")
 
-    wanted = found.where("key IS NOT NULL").select("token", "n", "kind", "page", "cost", "key", "rule")
-    sound = clean.join(whole.select("token").distinct(), "token", "left_anti")
-    keys = sound.mapInPandas(spell, "key string, restored string, n_text long").join(wanted.select("key").distinct(), "key", "left_semi")
-    filled = wanted.join(keys, "key").where(F.regexp_like("restored", F.col("rule"))).select("token", "n", "kind", "page", "cost", "restored", "n_text")
+    several = met.mapInPandas(compare, "token string, n long, kind string, page string, cost double, restored string, n_text long")
+    filled = single.unionByName(several)
     unfilled = wanted.select("token", "n", "kind", "page", "cost", F.lit(None).cast("string").alias("restored"), F.lit(0).cast("long").alias("n_text"))
     both = whole.unionByName(filled.unionByName(unfilled).withColumn("total", F.col("cost") - F.log(F.greatest(F.col("n_text").cast("double"), F.lit(UNSEEN)))))
     rank = F.struct("total", (F.col("kind") != "utf8").alias("later"), F.array_position(F.lit([*UTF8_MISREAD]), F.col("page")).alias("place"), "page", "restored")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -222,6 +223,39 @@ def test_lost_bytes_are_filled_by_words_that_agree_with_every_known_character(sp
     assert (got[len(clean) + 7].n_restored, got[len(clean) + 7].n_lost) == (0, 1)
 
 
+def test_lost_bytes_of_any_number_place_and_length_of_word_are_filled(spark) -> None:
+    passage = "去年冬天以后小麦田里的老鼠数量明显增加农民在收获之前每个月都要检查田地周围的洞穴并且记录下来"  # more than 40 characters
+    clean = ["преобразование", passage, "Überführungsstück", "поле", "жизнь"]
+    bad = {"преобр\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffdание": clean[0], passage[:20] + "\ufffd" + passage[21:]: passage, "п\ufffdе\ufffdбразо\ufffdание": clean[0], "\ufffdреобразовани\ufffd": clean[0],
+           "\ufffdberf\ufffdhrungsst\ufffdck": clean[2], "\ufffd\ufffdол\ufffd": clean[3], "\ufffd" * 10: clean[4], "преобр\ufffdмание": None, passage[:20] + "\ufffd" + passage[20:]: None}
+    texts = [*clean, "eine жизнь", *bad]
+    got = {r.token: r.restored for r in garbled.damaged_tokens(garbled.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"), "text")).collect()}
+    assert got == bad
+
+
+def test_fillings_against_every_word_of_the_corpus(spark) -> None:
+    rng = random.Random(8)
+    words = {w: rng.randint(1, 3) for w in ("".join(rng.choices("жзиыaé—", k=rng.choice([3, 4, 5, 6, 60]))) for _ in range(250)) if not w.isascii()}
+    bad = {rule_of for w in words for _ in range(3) if "\ufffd" in (rule_of := "".join(c if c == "a" or rng.random() < 0.6 else "\ufffd" * rng.choice([1, 1, 2]) for c in w))}
+    rows_ = garbled.damaged_tokens(spark.createDataFrame([*words.items(), *((b, 1) for b in bad)], "token string, n long")).collect()
+    sure = {r.token for r in rows_ if "\ufffd" not in r.token}
+    assert {r.token for r in rows_} - sure == bad and len(bad) > 300
+    for r in rows_:
+        if r.token in bad and r.kind == "lost":
+            rule = re.compile("".join(f"[^\x00-\x7f]{{{(len(m) + 3) // 4},{len(m)}}}" if m[0] == "\ufffd" else re.escape(m) for m in re.findall("\ufffd+|[^\ufffd]+", r.token)))
+            fits = [w for w in words if w not in sure and rule.fullmatch(w)]
+            assert r.restored == (min(fits, key=lambda w: (-words[w], w)) if fits else None)
+
+
+@given(st.lists(st.tuples(st.integers(1, 9), st.text(alphabet="яé", min_size=1, max_size=2)), min_size=1, max_size=4), st.text(alphabet="яé", min_size=1, max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_agreement_is_that_of_a_regular_expression(parts, word) -> None:
+    text = "".join("\ufffd" * n + piece for n, piece in parts)
+    rule = "".join(f"[^\x00-\x7f]{{{(n + 3) // 4},{n}}}{piece}" for n, piece in parts)
+    assert garbled.agrees(text, word) == bool(re.fullmatch(rule, word))
+    assert garbled.agrees(text[::-1], word) == bool(re.fullmatch("".join(f"{p[::-1]}[^\x00-\x7f]{{{(n + 3) // 4},{n}}}" for n, p in reversed(parts)), word))
+
+
 def test_a_word_garbled_in_another_way_is_no_better_witness(spark) -> None:
     texts = ["Für alle", "F├╝r alle", damaged("Für", "cp1251") + " andere"]
     got = restored(spark, texts)
