@@ -277,6 +277,17 @@ def _pieces(text: str) -> tuple[list[str], list[int]]:
     return re.split(LOST + "+", text), [len(m.group()) for m in re.finditer(LOST + "+", text)]
 
 
+def marks(text: str) -> int:
+    """A set of the known characters of a text and of their pairs, as 63 bits: a word that agrees with the text has all of them, and maybe others."""
+    out = 0
+    for piece in text.split(LOST):
+        for c in piece:
+            out |= 1 << ord(c) % 31
+        for c, d in zip(piece, piece[1:]):
+            out |= 1 << 31 + (7 * ord(c) + ord(d)) % 32
+    return out
+
+
 def agrees(text: str, word: str) -> bool:
     """Whether a word of the form of a text with lost bytes has all its known pieces with so many characters between them as the bytes may have been."""
     known, runs = _pieces(text)
@@ -359,24 +370,24 @@ def damaged_tokens(words: DataFrame) -> DataFrame:
             for t, n in zip(b["token"], b["n"]):
                 some = readings(t)
                 sure = any(c < -NEVER / 2 for _, _, _, c in some)
-                rows.append((t, n, "", "", t, 0.0, sure, *[None] * len(place)))
+                rows.append((t, n, "", "", t, 0.0, sure, marks(t), *[None] * len(place)))
                 for kind, page, text, cost in some:
-                    rows.append((t, n, kind, page, text, cost, sure, *(open_pattern(text) if LOST in text else [None] * len(place))))
-            yield pd.DataFrame(rows, columns=["token", "n", "kind", "page", "text", "cost", "sure", *place])
+                    rows.append((t, n, kind, page, text, cost, sure, marks(text), *(open_pattern(text) if LOST in text else [None] * len(place))))
+            yield pd.DataFrame(rows, columns=["token", "n", "kind", "page", "text", "cost", "sure", "marks", *place])
 
-    schema = "token string, n long, kind string, page string, text string, cost double, sure boolean, form string, way string, a int, b int, key string, low int, high int"
+    schema = "token string, n long, kind string, page string, text string, cost double, sure boolean, marks long, form string, way string, a int, b int, key string, low int, high int"
     found = cut(words.mapInPandas(run, schema))  # the words are searched once
-    clean = found.where("kind = '' AND NOT sure").select("token", "n")
+    clean = found.where("kind = '' AND NOT sure").select("token", "n", "marks")
     known = clean.select(F.col("token").alias("text"), F.col("n").alias("n_text"))
     whole = found.where("kind <> '' AND key IS NULL").join(known, "text", "left").select("token", "n", "kind", "page", "cost", F.col("text").alias("restored"), F.coalesce("n_text", F.lit(0)).alias("n_text"))
     misplaced = F.when(_odd(F.col("token")) & ~_odd(F.col("restored")), -ODD).otherwise(0.0)
     total = F.col("cost") + misplaced - F.log(F.greatest(F.col("n_text").cast("double"), F.lit(UNSEEN)))
     whole = whole.withColumn("total", total).where(F.col("total") <= -F.log(F.col("n").cast("double")))
 
-    wanted = found.where("key IS NOT NULL").select("token", "n", "kind", "page", "cost", "text", *place)
+    wanted = found.where("key IS NOT NULL").select("token", "n", "kind", "page", "cost", "text", "marks", *place)
     form = F.regexp_replace("token", r"[^\x00-\x7F]+", LOST)
     fillers = clean.withColumn("form", form).join(wanted.select("form").distinct(), "form", "left_semi").join(whole.select("token").distinct(), "token", "left_anti")
-    sound = cut(fillers.select("form", F.length("token").alias("size"), F.col("token").alias("restored"), F.col("n").alias("n_text")))  # words that may fill a gap; read several times
+    sound = cut(fillers.select("form", F.length("token").alias("size"), F.col("token").alias("restored"), F.col("n").alias("n_text"), F.col("marks").alias("marked")))  # words that may fill a gap; read several times
     # the ends or pieces by which words of a form and size are wanted: a word has those keys only
     sizes = sound.select("form", "size").distinct()
     asked = wanted.select("form", "way", "a", "b", "low", "high").distinct().join(sizes, "form").where("size BETWEEN low AND high").select("form", "size", "way", "a", "b").distinct()
@@ -389,9 +400,9 @@ def damaged_tokens(words: DataFrame) -> DataFrame:
     bare = sound.where(F.col("form") == LOST).groupBy("form", "size").agg(top).withColumns({"a": F.lit(0), "b": F.lit(0), "key": F.lit(LOST)})
     single = wanted.where("way = 'one'").join(by_ends.unionByName(bare), ["form", "a", "b", "key"]).where("size BETWEEN low AND high")
     single = single.select("token", "n", "kind", "page", "cost", F.col("t.restored").alias("restored"), (-F.col("t.less")).alias("n_text"))
-    # several places: words that have the key are compared
+    # several places: words that have the key and all marks are compared
     met = sound.join(asked.where("way <> 'one'"), ["form", "size"]).withColumn("key", F.explode(F.when(F.col("way") == "inner", pieces).otherwise(F.array(ends))))
-    met = wanted.where("way <> 'one'").join(met, ["form", "way", "a", "b", "key"]).where("size BETWEEN low AND high").select("token", "n", "kind", "page", "cost", "text", "restored", "n_text")
+    met = wanted.where("way <> 'one'").join(met, ["form", "way", "a", "b", "key"]).where("size BETWEEN low AND high AND marked & marks = marks").select("token", "n", "kind", "page", "cost", "text", "restored", "n_text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

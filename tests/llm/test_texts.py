@@ -253,6 +253,7 @@ def test_agreement_is_that_of_a_regular_expression(parts, word) -> None:
     text = "".join("\ufffd" * n + piece for n, piece in parts)
     rule = "".join(f"[^\x00-\x7f]{{{(n + 3) // 4},{n}}}{piece}" for n, piece in parts)
     assert garbled.agrees(text, word) == bool(re.fullmatch(rule, word))
+    assert not garbled.agrees(text, word) or garbled.marks(word) & garbled.marks(text) == garbled.marks(text)
     assert garbled.agrees(text[::-1], word) == bool(re.fullmatch("".join(f"{p[::-1]}[^\x00-\x7f]{{{(n + 3) // 4},{n}}}" for n, p in reversed(parts)), word))
 
 
